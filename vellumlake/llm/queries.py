@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vellumlake.llm import mpeg_audio, quality_rules, sentencepiece_bpe
+from vellumlake.llm import chat_format, mpeg_audio, near_dedup, quality_rules, sentencepiece_bpe, toxicity
 from vellumlake.llm.common import table
 
 PIECES = os.environ.get("VELLUMLAKE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
@@ -22,9 +22,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.components(table(spark, sf_dir, "documents"), width=2)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), PIECES)
 
 
-QUERIES = {f.__name__: f for f in (op3_mpeg_audio, op4_quality_rules, op7_sentencepiece)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat_format.with_probe(table(spark, sf_dir, "conversations"))
+    return chat_format.digests(chat_format.format_conversations(rows))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op3_mpeg_audio, op4_quality_rules, op5_minhash, op7_sentencepiece, op8_chat_format, op9_toxicity)}
+ORACLE_SQL = {"op8_chat_format": chat_format.SQL}
