@@ -6,11 +6,23 @@ import os
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vellumlake.llm import chat_format, mpeg_audio, near_dedup, quality_rules, sentencepiece_bpe, toxicity
+from vellumlake.llm import chat_format, language_id, mixing, mpeg_audio, near_dedup, pii, quality_classifier, quality_rules, sentencepiece_bpe, toxicity
 from vellumlake.llm.common import table
 
 PIECES = os.environ.get("VELLUMLAKE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
+TARGET_ENTROPY, MAX_REPETITION = 0.95, 2.0
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.assignments(docs, mixing.plan(docs, TARGET_ENTROPY, MAX_REPETITION))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumnRenamed("_n_entities", "n_entities")
 
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +38,12 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components(table(spark, sf_dir, "documents"), width=2)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, pages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")
+    model = language_id.learn(docs)
+    return language_id.fused(language_id.evidence(docs, pages, model), model.languages)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(table(spark, sf_dir, "documents"), PIECES)
 
@@ -40,5 +58,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_mpeg_audio, op4_quality_rules, op5_minhash, op7_sentencepiece, op8_chat_format, op9_toxicity)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_classifier.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    names = {"_p": "doc_score", "_host_post": "host_posterior", "_path_post": "path_posterior", "_posterior": "posterior", "_kept": "kept"}
+    return out.select("doc_id", *(F.col(a).alias(b) for a, b in names.items()))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_mpeg_audio, op4_quality_rules, op5_minhash, op6_language_id, op7_sentencepiece, op8_chat_format, op9_toxicity, op10_quality_classifier)}
 ORACLE_SQL = {"op8_chat_format": chat_format.SQL}
