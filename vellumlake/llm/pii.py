@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from vellumlake.llm.common import stored, text_or_empty
 
 KEY = "vellumlake-surrogates"  # a deployment passes its own secret
+WIDEN = 8  # turns after which a surrogate may be longer than its entity
 FEW = 100_000  # re-derived entities that are broadcast at most
 _OCTET = r"\d{1,3}"
 FEMALE, MALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Sra|Srta|Señora|Signora", "Mr|Herr|Monsieur|Sr|Señor|Signor"
@@ -80,7 +81,7 @@ def normal(e: Column, kind: Column | None = None) -> Column:
         F.when(kind == "email", F.lower(e))
         .when(kind == "name", F.lower(F.concat(_gender(e), F.regexp_replace(e, rf"^(?:{TITLES})\b\.? ", " "))))
         .when(kind == "secret", F.regexp_extract(e, r"([A-Za-z0-9_/+-]+)$", 1))
-        .when(kind.isin("card", "phone", "id"), F.regexp_replace(e, r"\D", ""))
+        .when(kind.isin("card", "phone", "id"), F.regexp_replace(e, r"[^\p{L}\p{N}]", ""))
         .when(kind == "iban", F.regexp_replace(e, " ", ""))
         .otherwise(F.lower(e))
     )
@@ -176,12 +177,12 @@ def surrogate(e: Column, key: Column, turn: Column) -> Column:
         host = _stream(key, F.concat(F.lit("domain:"), F.lower(domain)), F.lit(0))
         top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
         email = F.concat(_masked(local, s), F.lit("@"), let(host, lambda h: _masked(F.substr(domain, F.lit(1), F.length(domain) - F.length(top)), h)), top)
-        value = F.regexp_extract(e, r"([A-Za-z0-9_/+-]+)$", 1)
+        value = F.regexp_extract(e, r"(?:^(?:AKIA|gh[pousr]_|sk-)|[=:]\s{0,3}[\"']?|^)([A-Za-z0-9_/+-]+)$", 1)
         secret = F.concat(F.substr(e, F.lit(1), F.length(e) - F.length(value)), _masked(value, s, value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
         lead = F.regexp_extract(e, r"^\+\d{1,3}(?=\D)", 0)
         phone = F.concat(lead, _masked(F.substr(e, F.length(lead) + 1), s))
         iban = F.concat(F.substr(e, F.lit(1), F.lit(2)), _masked(F.substr(e, F.lit(3)), s))
-        return (
+        out = (
             F.when(kind == "email", email)
             .when(kind == "name", _name(e, key, turn))
             .when(kind == "ip", _ip(e, s))
@@ -191,6 +192,8 @@ def surrogate(e: Column, key: Column, turn: Column) -> Column:
             .when(kind == "phone", phone)
             .otherwise(_masked(e, s))
         )
+        # where a format has fewer values than the data has entities, distinctness goes before format
+        return F.when(turn >= WIDEN, F.concat(out, F.lit("-"), F.substr(s, F.lit(400), F.lit(12)))).otherwise(out)
 
     return let(kind_of(e), lambda k: let(_stream(key, F.concat_ws(":", k, normal(e, k)), turn), lambda s: of(k, s)))
 
@@ -213,7 +216,7 @@ def rederived(entities: DataFrame, key: str, most: int = 20) -> DataFrame:
     turns = None
     for _ in range(most):
         t = entities.withColumn("turn", F.lit(0)) if turns is None else entities.join(turns, ["kind", "norm"], "left").withColumn("turn", F.coalesce("turn", F.lit(0)))
-        now = stored(t.withColumn("out", let(surrogate(F.col("e"), F.lit(key), F.col("turn")), lambda x: normal(x))), "surrogates")
+        now = stored(t.withColumn("out", let(surrogate(F.col("e"), F.lit(key), F.col("turn")), lambda x: normal(x, F.col("kind")))), "surrogates")
         first = now.groupBy("kind", "out").agg(F.min("norm").alias("keeper"), F.count("*").alias("c")).where("c > 1").select("kind", "out", "keeper")
         shared = now.join(first, ["kind", "out"]).where("norm <> keeper").select("kind", "norm")
         taken = now.join(entities.select("kind", F.col("norm").alias("out")), ["kind", "out"], "left_semi").select("kind", "norm")
