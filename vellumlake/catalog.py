@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from vellumlake.plans import text_queries
+
+_FAMILIES = (text_queries,)
+QUERIES: dict = {k: v for f in _FAMILIES for k, v in f.QUERIES.items()}
+ORACLE_SQL: dict = {k: v for f in _FAMILIES for k, v in f.ORACLE_SQL.items()}
