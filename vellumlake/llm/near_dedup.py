@@ -200,8 +200,13 @@ def _new_stars(apart: DataFrame, turn: int, similarity: int) -> DataFrame:
     """Two more stars in each bucket: around a member of its largest component and around one of the others."""
     member = F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "n", "root", "bits")
     centres = apart.groupBy("key").agg(F.min(F.when(F.col("is_main"), member)).alias("c"), F.min(F.when(~F.col("is_main"), member)).alias("d"))
-    both = apart.join(centres, "key").select("id", "n", "root", "bits", F.explode(F.array("c", "d")).alias("c")).where("root <> c.root")
-    return both.where(_possible(lambda c: F.col(c), lambda c: F.col("c." + c), similarity)).select(F.col("id").alias("a"), F.col("c.id").alias("b"))
+    here, there = (lambda c: F.col("x." + c)), (lambda c: F.col("y." + c))
+
+    def star(centre: str) -> DataFrame:
+        spokes = apart.alias("x").join(centres.select("key", f"{centre}.*").alias("y"), (here("key") == there("key")) & (here("root") != there("root")) & _possible(here, there, similarity))
+        return spokes.select(here("id").alias("a"), there("id").alias("b"))
+
+    return star("c").unionAll(star("d"))
 
 
 def _rest_pairs(apart: DataFrame, similarity: int) -> DataFrame:
