@@ -242,7 +242,7 @@ def _rest_pairs(apart: DataFrame, similarity: int) -> DataFrame:
             out: list = []
             if batch is not None and batch.num_rows:
                 new = {c: batch.column(k).to_numpy() for k, c in enumerate(names)}
-                new["bits"] = batch.column(7).flatten().to_numpy().reshape(-1, BITMAP)
+                new["bits"] = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)  # counts of signed numbers drop the sign
                 held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             if held is not None:
                 change = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])) + 1
