@@ -87,6 +87,8 @@ def check(spark, expr, text):
         (X.numbering_only, "1.2 (3)", True), (X.numbering_only, "..", False), (X.abnormal_space, "a  b", True), (X.abnormal_space, "　a", True),
         (X.abnormal_space, "a b", False), (X.isolated_punctuation, "。", True), (X.delimiters_balanced, "（a[b]）", True), (X.delimiters_balanced, "(]", False),
         (X.delimiters_balanced, ")", False), (X.delimiters_balanced, "", True), (X.han_count, "漢字x", 2), (X.compare_key, "ﬁ ﬀ x", "fiffx"),
+        (X.compare_key, "sur\u00ad vive", "survive"), (lambda c: X.joined_lines(F.split(c, "\n")), "Order must sur\u00ad\n\n vive a  line", "Order must survive a line"),
+        (lambda c: X.version_of(c, "tool"), "x 1\nthe tool 2.3.4, (c) 2020", "2.3.4"), (X.version_of, "\n v 10.5)\n", "10.5"), (X.isolated_punctuation, "…", False),
         (X.placeholder_residue, "{v1}{v2}<b1>", 2), (X.kinsoku, "。a", True), (X.trailer_id, "ab", "6162" + "0" * 28), (X.valid_sha256, "g" * 64, False),
     ],
 )

@@ -59,12 +59,14 @@ class Rect:
         return ratio1(common, self.area + o.area - common)
 
     def same_line(self, o: Rect) -> Column:
-        return F.least(self.top, o.top) - F.greatest(self.bottom, o.bottom) > SLACK
+        """Whether the vertical extents overlap by more than the slack."""
+        return (self.top > o.bottom + SLACK) & (o.top > self.bottom + SLACK)
 
-    def follows(self, o: Rect) -> Column:
-        """Whether o stands directly right of self on its line."""
+    def follows(self, o: Rect, limit: Column | None = None) -> Column:
+        """Whether o stands directly right of self on its line, within the limit (by default 1.5 of the height)."""
         gap = o.left - self.right
-        return self.same_line(o) & (gap >= -SLACK) & (gap <= 1.5 * F.greatest(self.height, o.height) + SLACK)
+        limit = 1.5 * F.greatest(self.height, o.height) if limit is None else limit
+        return self.same_line(o) & (gap >= -SLACK) & (gap <= limit + SLACK)
 
 
 def union_bounds(prefix: str = "") -> list[Column]:
@@ -108,8 +110,7 @@ def largest_scale(a: Column, b: Column, c: Column, d: Column) -> Column:
 def transform_kind(a: Column, b: Column, c: Column, d: Column) -> Column:
     """mirrored, rotated (by more than 0.1 degrees), skewed (by more than 20) or upright."""
     rotation = F.degrees(F.atan2(b, a))
-    skew = F.degrees(F.atan2(c, d))
-    skew = F.abs(skew + rotation)
+    skew = F.abs(F.degrees(F.atan2(c, d)))
     return F.when(a * d - b * c < 0, "mirrored").when(F.abs(rotation) > 0.1, "rotated").when(skew > 20, "skewed").otherwise("upright")
 
 
@@ -117,3 +118,44 @@ def page_size(width: Column, height: Column, rotate: Column) -> Column:
     """Width and height as seen; a quarter turn swaps them."""
     turned = F.pmod(rotate, F.lit(180)) == 90
     return F.struct(F.when(turned, height).otherwise(width).alias("width"), F.when(turned, width).otherwise(height).alias("height"))
+
+
+def author_band(title_bottom: Column, anchor_top: Column, median_size: Column) -> Column:
+    """The band between a title and the anchor below it, widened by half the median size; null where there is none."""
+    tol = 0.5 * median_size
+    ok = finite(title_bottom) & finite(anchor_top) & (anchor_top < title_bottom) & finite(median_size) & (median_size > 0)
+    return F.when(ok, F.struct((anchor_top - tol).alias("lower"), (title_bottom + tol).alias("upper")))
+
+
+def in_band(band: Column, bottom: Column, top: Column) -> Column:
+    return F.coalesce(finite(bottom) & finite(top) & (bottom <= top) & (bottom >= band["lower"] - SLACK) & (top <= band["upper"] + SLACK), F.lit(False))
+
+
+def segments_cross(p: tuple, q: tuple, r: tuple, s: tuple) -> Column:
+    """Whether segments p-q and r-s touch; points are pairs of columns."""
+    side = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    d1, d2, d3, d4 = side(r, s, p), side(r, s, q), side(p, q, r), side(p, q, s)
+    on = lambda a, b, c: (c[0] >= F.least(a[0], b[0])) & (c[0] <= F.greatest(a[0], b[0])) & (c[1] >= F.least(a[1], b[1])) & (c[1] <= F.greatest(a[1], b[1]))
+    return ((d1 * d2 < 0) & (d3 * d4 < 0)) | ((d1 == 0) & on(r, s, p)) | ((d2 == 0) & on(r, s, q)) | ((d3 == 0) & on(p, q, r)) | ((d4 == 0) & on(p, q, s))
+
+
+def inside(polygon: Column, x: Column, y: Column, even_odd: bool = True) -> Column:
+    """Whether a point lies in a polygon (array of x, y), by the even-odd or the nonzero rule."""
+    n = F.size(polygon)
+    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(polygon, i).alias("a"), F.get(polygon, F.pmod(i + 1, n)).alias("b")))
+
+    def turn(e):
+        a, b = e["a"], e["b"]
+        left = (b["x"] - a["x"]) * (y - a["y"]) - (x - a["x"]) * (b["y"] - a["y"])
+        return F.when((a["y"] <= y) & (b["y"] > y) & (left > 0), 1).when((a["y"] > y) & (b["y"] <= y) & (left < 0), -1).otherwise(0)
+
+    total = F.aggregate(F.transform(edges, turn), F.lit(0), lambda s, v: s + (F.abs(v) if even_odd else v))
+    return (n >= 3) & ((F.pmod(total, F.lit(2)) == 1) if even_odd else (total != 0))
+
+
+def view_to_page(width: Column, height: Column, rotate: Column, x: Column, y: Column) -> Column:
+    """Page coordinates of a point of the rotated view; width and height are the page's own."""
+    r = F.pmod(rotate, F.lit(360))
+    px = F.when(r == 90, width - y).when(r == 180, width - x).when(r == 270, y).otherwise(x)
+    py = F.when(r == 90, x).when(r == 180, height - y).when(r == 270, height - x).otherwise(y)
+    return F.struct(px.alias("x"), py.alias("y"))

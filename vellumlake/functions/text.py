@@ -55,16 +55,22 @@ def non_space_count(text: Column) -> Column:
 
 
 def compare_key(text: Column) -> Column:
-    """Without white space, Latin ligatures spelled out."""
-    out = compact(text)
+    """Without white space and soft hyphens, Latin ligatures spelled out."""
+    out = F.replace(compact(text), F.lit("\u00ad"), F.lit(""))
     for i, plain in enumerate(("ff", "fi", "fl", "ffi", "ffl", "st", "st")):
         out = F.replace(out, F.lit(chr(0xFB00 + i)), F.lit(plain))
     return out
 
 
+def normalized(text: Column) -> Column:
+    """Soft hyphens gone, white space folded to single spaces."""
+    return stripped(F.regexp_replace(F.replace(text, F.lit("\u00ad"), F.lit("")), WHITE + "+", " "))
+
+
 def joined_lines(lines: Column) -> Column:
-    """Lines of a block as one text; a soft hyphen at a line's end joins the word."""
-    return F.replace(F.array_join(lines, " "), F.lit("­ "), F.lit(""))
+    """Lines of a block as one text: blank ones left out, a soft hyphen at a line's end joins the word."""
+    kept = F.filter(F.transform(lines, stripped), lambda x: x != "")
+    return normalized(F.array_join(F.transform(kept, lambda x: F.when(x.endswith("\u00ad"), x).otherwise(F.concat(x, F.lit(" ")))), ""))
 
 
 def alphabetic(text: Column) -> Column:
@@ -111,7 +117,8 @@ def kinsoku(text: Column) -> Column:
     return first.isin(*LINE_START) | last.isin(*LINE_END)
 
 
-PUNCTUATION = tuple("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + tuple(LINE_START + LINE_END) + ("…", "—", "·")
+# Punctuation, ASCII and Chinese.
+PUNCTUATION = tuple("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") + tuple("，。！？；：、（）【】《》“”‘’")
 
 
 def isolated_punctuation(text: Column) -> Column:
@@ -198,16 +205,40 @@ def decoded(has_tounicode: Column, tounicode: Column, cmap: Column, encoding: Co
     return F.when(has_tounicode, tounicode).otherwise(F.coalesce(cmap, encoding))
 
 
-def version_of(output: Column, marker: str) -> Column:
-    return F.regexp_extract(output, rf"{marker}\s*v?([0-9]+(?:\.[0-9A-Za-z]+)*)", 1)
+def version_of(output: Column, marker: str | None = None) -> Column:
+    """The first token that begins with a digit on the first line that holds the marker (or isn't blank)."""
+    lines = F.filter(F.split(output, "\n"), lambda x: x.contains(marker) if marker else stripped(x) != "")
+    tokens = F.filter(F.split(stripped(F.get(lines, F.lit(0))), WHITE + "+"), lambda t: t.rlike("^[0-9]"))
+    return F.regexp_replace(F.get(tokens, F.lit(0)), "[,;).]+$", "")
 
 
 def error_class(status: Column) -> Column:
-    """What an HTTP status means for a request."""
-    return F.when(status.between(200, 299), "ok").when(status.isin(401, 403), "auth").when(status == 429, "retry_rate_limit").when(status.isin(408, 409, 425) | (status >= 500), "retry").otherwise("fail")
-
-
-def section_number(required_gap: Column, em: Column, available: Column) -> Column:
-    """Gap after a section number (at least a quarter em), and whether it was clamped to what is there."""
-    want = F.greatest(required_gap, 0.25 * em)
-    return F.struct(F.least(want, available).alias("gap"), (want > available).alias("clamped"))
+    """What an HTTP status means for a request: its failure and, where it is worth it, the kind of retry."""
+    retry = F.when(status == 429, "rate_limited").when(status == 408, "timeout").when(status.isin(500, 502, 503, 504), "server_error")
+    reason = (
+        F.when(status.between(200, 299), "ok")
+        .when(status.isin(429, 408), "backend_rejected")
+        .when(status.isin(401, 403), "authentication_failed")
+        .when(status.between(400, 499), "backend_rejected")
+        .otherwise("translation_failed")
+    )
+    return F.struct(reason.alias("reason"), retry.alias("retry"))
+
+
+def responses_url(base: Column) -> Column:
+    """The endpoint below a base address; null for one without host, or with credentials, query or fragment."""
+    parts = lambda k: F.regexp_extract(base, r"^(https?://[^/?#@\s]+)((?:/[^?#]*)?)$", k)
+    path = F.regexp_replace(parts(2), "/+$", "")
+    full = F.when(path == "/v1/responses", path).when(path.endswith("/v1"), F.concat(path, F.lit("/responses"))).otherwise(F.concat(path, F.lit("/v1/responses")))
+    return F.when(parts(1) != "", F.concat(parts(1), full))
+
+
+def section_number(prefix_left: Column, title_left: Column, prefix_width: Column, size: Column) -> Column:
+    """Where a title starts after its retained number: the source gap left over by the new prefix, at least a quarter
+    em. Null for values that make no sense."""
+    from vellumlake.functions.numeric import finite
+
+    want, least = title_left - prefix_left - prefix_width, 0.25 * size
+    gap = F.greatest(want, least)
+    ok = finite(prefix_left) & finite(title_left) & finite(prefix_width) & finite(size) & (title_left >= prefix_left) & (prefix_width >= 0) & (size > 0)
+    return F.when(ok, F.struct(gap.alias("gap"), (prefix_left + prefix_width + gap).alias("title_left"), (want < least).alias("clamped")))

@@ -117,7 +117,7 @@ def formula_neighbour_gaps(spark, sf_dir):
 
 
 @query("WITH " + B_SQL + """, t AS (SELECT DISTINCT page, owner, "left", bottom, "right", top, CASE owner % 5 WHEN 0 THEN '。x' WHEN 1 THEN 'x（' ELSE 'xx' END AS text FROM b),
- n AS (SELECT x.page, x.owner AS a, y.owner AS c FROM t x JOIN t y ON x.page = y.page AND x.owner <> y.owner AND least(x.top, y.top) - greatest(x.bottom, y.bottom) > 0.01
+ n AS (SELECT x.page, x.owner AS a, y.owner AS c FROM t x JOIN t y ON x.page = y.page AND x.owner <> y.owner AND x.top > y.bottom + 0.01 AND y.top > x.bottom + 0.01
  AND y."left" - x."right" >= -0.01 AND y."left" - x."right" <= 1.5 * greatest(x.top - x.bottom, y.top - y.bottom) + 0.01)
  SELECT DISTINCT page, owner FROM t WHERE (text = '。x' AND NOT EXISTS (SELECT 1 FROM n WHERE n.page = t.page AND n.c = t.owner)) OR (text = 'x（' AND NOT EXISTS (SELECT 1 FROM n WHERE n.page = t.page AND n.a = t.owner))""")
 def kinsoku_lines(spark, sf_dir):

@@ -280,7 +280,7 @@ def layout_drift(spark, sf_dir):
     return score.layout_drift(p, ["page"])
 
 
-@query("WITH " + B_SQL + """ SELECT DISTINCT x.page, x.owner AS a, y.owner AS b FROM b x JOIN b y ON x.page = y.page AND x.owner <> y.owner AND least(x.top, y.top) - greatest(x.bottom, y.bottom) > 0.01
+@query("WITH " + B_SQL + """ SELECT DISTINCT x.page, x.owner AS a, y.owner AS b FROM b x JOIN b y ON x.page = y.page AND x.owner <> y.owner AND x.top > y.bottom + 0.01 AND y.top > x.bottom + 0.01
  AND y."left" - x."right" >= -0.01 AND y."left" - x."right" <= 1.5 * greatest(x.top - x.bottom, y.top - y.bottom) + 0.01""")
 def line_adjacency(spark, sf_dir):
     return spatial.line_neighbours(rel.boxes(spark, sf_dir), ["page"], "owner")
@@ -354,7 +354,7 @@ def union_bounds(spark, sf_dir):
 
 @query("""WITH m AS (SELECT p_partkey, CAST(p_size % 5 - 1 AS DOUBLE) AS a, CAST(p_size % 3 - 1 AS DOUBLE) AS b, CAST(p_partkey % 4 - 1 AS DOUBLE) AS c, CAST(p_partkey % 7 + 1 AS DOUBLE) AS d FROM part)
  SELECT p_partkey, abs(a * d - b * c) <= 1e-12 AS singular, round(sqrt((a*a + b*b + c*c + d*d + sqrt(greatest(0.0, pow(a*a + b*b + c*c + d*d, 2) - 4 * pow(a*d - b*c, 2)))) / 2), 6) AS scale,
- CASE WHEN a * d - b * c < 0 THEN 'mirrored' WHEN abs(degrees(atan2(b, a))) > 0.1 THEN 'rotated' WHEN abs(degrees(atan2(c, d)) + degrees(atan2(b, a))) > 20 THEN 'skewed' ELSE 'upright' END AS kind FROM m""")
+ CASE WHEN a * d - b * c < 0 THEN 'mirrored' WHEN abs(degrees(atan2(b, a))) > 0.1 THEN 'rotated' WHEN abs(degrees(atan2(c, d))) > 20 THEN 'skewed' ELSE 'upright' END AS kind FROM m""")
 def text_transform(spark, sf_dir):
     p = rel.table(spark, sf_dir, "part")
     m = p.select("p_partkey", (F.col("p_size") % 5 - 1).cast("double").alias("a"), (F.col("p_size") % 3 - 1).cast("double").alias("b"), (F.col("p_partkey") % 4 - 1).cast("double").alias("c"), (F.col("p_partkey") % 7 + 1).cast("double").alias("d"))
@@ -489,3 +489,26 @@ def form_call_graph(spark, sf_dir):
 def reference_remap(spark, sf_dir):
     refs = rel.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("page"))
     return tree.remapped(refs, rel.table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("old"), (F.col("p_partkey") + 1000).alias("new"))).select("l_orderkey", "l_linenumber", "page", "new")
+
+
+@query("WITH " + B_SQL + """, t AS (SELECT page, min(bottom) AS tb FROM b WHERE owner % 10 = 1 GROUP BY 1), a AS (SELECT page, min(top) AS at_, median(top - bottom) AS size FROM b WHERE owner % 10 = 2 GROUP BY 1),
+ z AS (SELECT page, CASE WHEN at_ < tb + 300 AND size > 0 THEN at_ - 0.5 * size END AS lower, CASE WHEN at_ < tb + 300 AND size > 0 THEN tb + 300 + 0.5 * size END AS upper FROM t JOIN a USING (page))
+ SELECT b.page, b.owner, b."left", coalesce(b.bottom >= z.lower - 0.01 AND b.top <= z.upper + 0.01, false) AS author FROM b JOIN z USING (page) WHERE b.owner % 10 > 2""")
+def author_band(spark, sf_dir):
+    b = rel.boxes(spark, sf_dir)
+    t = b.where("owner % 10 = 1").groupBy("page").agg((F.min("bottom") + 300).alias("tb"))
+    a = b.where("owner % 10 = 2").groupBy("page").agg(F.min("top").alias("at"), F.median(F.col("top") - F.col("bottom")).alias("size"))
+    z = t.join(a, "page").select("page", G.author_band(F.col("tb"), F.col("at"), F.col("size")).alias("band"))
+    return b.where("owner % 10 > 2").join(z, "page").select("page", "owner", "left", G.in_band(F.col("band"), F.col("bottom"), F.col("top")).alias("author"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 600 - y WHEN p_partkey % 4 = 2 THEN 600 - x WHEN p_partkey % 4 = 3 THEN y ELSE x END AS px,
+ CASE WHEN p_partkey % 4 = 1 THEN x WHEN p_partkey % 4 = 2 THEN 800 - y WHEN p_partkey % 4 = 3 THEN 800 - x ELSE y END AS py, x > 10 AND x < 40 AND y > 10 AND y < 40 AND x + y < 70 AS inside
+ FROM (SELECT p_partkey, p_partkey * 7 % 51 + 0.5 AS x, p_partkey * 11 % 51 + 0.25 AS y FROM part)""")
+def page_coordinates(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = rel.table(spark, sf_dir, "part").select(k, (k * 7 % 51 + 0.5).cast("double").alias("x"), (k * 11 % 51 + 0.25).cast("double").alias("y"))
+    q = G.view_to_page(F.lit(600.0), F.lit(800.0), (k % 4 * 90).cast("int"), F.col("x"), F.col("y"))
+    corner = lambda x, y: F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"))
+    shape = F.array(corner(10, 10), corner(40, 10), corner(40, 30), corner(30, 40), corner(10, 40))
+    return p.select("p_partkey", q["x"].alias("px"), q["y"].alias("py"), G.inside(shape, F.col("x"), F.col("y")).alias("inside"))

@@ -174,15 +174,15 @@ def overtranslation_dimension(spark, sf_dir):
     return score.overtranslation(pairs, ["lang"])
 
 
-@query("WITH " + P_SQL + """, q AS (SELECT lang, CASE reading_order % 5 WHEN 1 THEN '。' || src WHEN 2 THEN src || '（' WHEN 3 THEN '…' WHEN 4 THEN src || '{v1}' ELSE src END AS s FROM p),
- a AS (SELECT lang, CAST(left(s, 1) = '。' OR right(s, 1) = '（' AS INTEGER) AS k, CAST(s = '…' AS INTEGER) AS i, CAST(contains(s, '{v') AS INTEGER) AS r,
+@query("WITH " + P_SQL + """, q AS (SELECT lang, CASE reading_order % 5 WHEN 1 THEN '。' || src WHEN 2 THEN src || '（' WHEN 3 THEN '!' WHEN 4 THEN src || '{v1}' ELSE src END AS s FROM p),
+ a AS (SELECT lang, CAST(left(s, 1) = '。' OR right(s, 1) = '（' AS INTEGER) AS k, CAST(s = '!' AS INTEGER) AS i, CAST(contains(s, '{v') AS INTEGER) AS r,
  CAST(contains(s, '  ') OR left(s, 1) = ' ' OR right(s, 1) = ' ' AS INTEGER) AS w FROM q)
  SELECT lang, CAST(sum(k) AS BIGINT) AS kinsoku, CAST(sum(i) AS BIGINT) AS isolated, CAST(sum(r) AS BIGINT) AS residue, CAST(sum(w) AS BIGINT) AS whitespace,
  CAST(sum(k) * 3 + sum(i) + sum(r) * 10 + sum(w) AS DOUBLE) AS weighted FROM a GROUP BY lang""")
 def lint_dimension(spark, sf_dir):
     from vellumlake.operators import score
 
-    s = F.expr("CASE reading_order % 5 WHEN 1 THEN concat('。', src) WHEN 2 THEN concat(src, '（') WHEN 3 THEN '…' WHEN 4 THEN concat(src, '{v1}') ELSE src END")
+    s = F.expr("CASE reading_order % 5 WHEN 1 THEN concat('。', src) WHEN 2 THEN concat(src, '（') WHEN 3 THEN '!' WHEN 4 THEN concat(src, '{v1}') ELSE src END")
     return score.lint(rel.paragraphs(spark, sf_dir).select("lang", s.alias("s")), ["lang"], "s")
 
 
@@ -266,3 +266,56 @@ def noncharacter_codes(spark, sf_dir):
     d = rel.table(spark, sf_dir, "documents")
     code = X.noncharacter(F.col("doc_id") + 64900)
     return d.select("doc_id", code.alias("codes"), F.when(code, "default").otherwise("x").alias("kind"))
+
+
+@query("""WITH u AS (SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'https://a.example' WHEN 1 THEN 'http://a.example/v1/' WHEN 2 THEN 'https://a.example/v1/responses' WHEN 3 THEN 'https://u:p@a.example' WHEN 4 THEN 'https://a.example/x?q=1' ELSE 'https://a.example/proxy' END AS base,
+ CASE c_custkey % 7 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 408 WHEN 3 THEN 503 WHEN 4 THEN 401 WHEN 5 THEN 422 ELSE 501 END AS status FROM customer)
+ SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN base || '/v1/responses' WHEN 1 THEN 'http://a.example/v1/responses' WHEN 2 THEN base WHEN 5 THEN base || '/v1/responses' END AS url,
+ CASE status WHEN 200 THEN 'ok' WHEN 401 THEN 'authentication_failed' WHEN 503 THEN 'translation_failed' WHEN 501 THEN 'translation_failed' ELSE 'backend_rejected' END AS reason,
+ CASE status WHEN 429 THEN 'rate_limited' WHEN 408 THEN 'timeout' WHEN 503 THEN 'server_error' END AS retry FROM u""")
+def request_endpoints(spark, sf_dir):
+    base = F.expr("CASE c_custkey % 6 WHEN 0 THEN 'https://a.example' WHEN 1 THEN 'http://a.example/v1/' WHEN 2 THEN 'https://a.example/v1/responses' WHEN 3 THEN 'https://u:p@a.example' WHEN 4 THEN 'https://a.example/x?q=1' ELSE 'https://a.example/proxy' END")
+    status = F.expr("CASE c_custkey % 7 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 408 WHEN 3 THEN 503 WHEN 4 THEN 401 WHEN 5 THEN 422 ELSE 501 END")
+    e = X.error_class(status)
+    return rel.table(spark, sf_dir, "customer").select("c_custkey", X.responses_url(base).alias("url"), e["reason"].alias("reason"), e["retry"].alias("retry"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CAST(greatest(l_partkey % 40 - l_suppkey % 20, 0.25 * (6 + l_linenumber)) AS DOUBLE) AS gap, l_partkey % 40 - l_suppkey % 20 < 0.25 * (6 + l_linenumber) AS clamped FROM lineitem""")
+def section_number_gap(spark, sf_dir):
+    d = lambda c: c.cast("double")
+    p = X.section_number(F.lit(10.0), d(10 + F.col("l_partkey") % 40), d(F.col("l_suppkey") % 20), d(6 + F.col("l_linenumber")))
+    return rel.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", p["gap"].alias("gap"), p["clamped"].alias("clamped"))
+
+
+@query()
+def conserved_tokens_full(spark, sf_dir):
+    """Tokens by the full lexer, by language; unit tests hold its cases."""
+    from vellumlake.functions.lexer import tokens_of
+
+    p = rel.paragraphs(spark, sf_dir).where(F.col("src").rlike(r"[0-9一二三四五六七八九十]"))
+    return p.select("lang", F.explode(tokens_of("src")).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+
+
+@query()
+def executor_outcomes(spark, sf_dir):
+    """Outcomes of the translation executor with the compressing backend, by language."""
+    from vellumlake.operators import executor
+
+    p = rel.paragraphs(spark, sf_dir)
+    out = executor.translated(p, executor.compressing, ["doc_id", "lang", "reading_order"])
+    return out.groupBy("lang", "outcome").agg(F.count("*").alias("n"), F.sum("conservation_retries").alias("conservation_retries"))
+
+
+@query()
+def placeholder_validate(spark, sf_dir):
+    """Violations of answers that lose, repeat or break a placeholder, by kind."""
+    from vellumlake.functions import placeholders as P
+
+    @F.udf("string")
+    def broken(k, text):
+        request = P.encode([("text", text), ("formula", ""), ("bold", "b")])
+        answer = {0: request.text + " ", 1: request.text.replace("{v1}", ""), 2: request.text + "{v1}", 3: request.text + "{v", 4: request.text.replace("</b1>", "") + " "}[k]
+        return P.violation(request.tokens, answer, request.text) or "valid"
+
+    p = rel.table(spark, sf_dir, "benchmark")
+    return p.groupBy(broken((F.col("item_id") % 5).cast("int"), F.col("text")).alias("violation")).agg(F.count("*").alias("n"))
