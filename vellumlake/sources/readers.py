@@ -99,11 +99,11 @@ def resource_usage(spark: SparkSession, path: str) -> DataFrame:
     return t.select(_document_id().alias("run"), wall.cast("double").alias("wall_time_seconds"), peak.cast("bigint").alias("peak_rss_bytes"))
 
 
-def content_objects(qpdf: DataFrame, json: str = "value") -> DataFrame:
+def content_objects(reports: DataFrame, json: str = "value") -> DataFrame:
     """document, object of each "N G R" reference in a page's /Contents, a single one or an array."""
     v = F.parse_json(json)
     objects = F.variant_get(v, "$.pages", "array<variant>")
-    one = qpdf.select("document", F.posexplode(objects).alias("page_index", "p"))
+    one = reports.select("document", F.posexplode(objects).alias("page_index", "p"))
     refs = F.regexp_extract_all(F.to_json(F.variant_get("p", "$.contents", "variant")), F.lit(r"(\d+) \d+ R"), F.lit(1))
     return one.select("document", "page_index", F.explode(refs).alias("object")).withColumn("object", F.col("object").cast("bigint"))
 
