@@ -117,3 +117,11 @@ def test_conserving_backend_keeps_tokens():
     for _ in range(200):
         t = " ".join(random.choice(["word", "5 km", "1/4", "37%", "x3", "[1, 2]", "4.5"]) for _ in range(8))
         assert missing_tokens(t, E.conserving(t)) == []
+
+
+def test_identity_and_glyph_names(spark):
+    df = spark.createDataFrame([([("a", None)], [("a", None)], None), ([("a", None)], [("a", 1.0)], None), ([("a", 1.0)], [("a", 1.0)], " a")], "a array<struct<unicode:string,x:double>>, b array<struct<unicode:string,x:double>>, t string")
+    assert [r[0] for r in df.select(X.paragraph_identity(F.col("a"), F.col("b"), F.col("t"))).collect()] == [True, False, True]
+    names = spark.createDataFrame([("A.sc",), ("f_i",), (".notdef",), ("zzz",), ("bad",)], "n string")
+    table = F.create_map(F.lit("A"), F.lit("A"), F.lit("bad"), F.lit("﷐"))
+    assert [r[0] for r in names.select(X.glyph_character(F.col("n"), table)).collect()] == ["A", None, None, None, None]

@@ -242,3 +242,47 @@ def section_number(prefix_left: Column, title_left: Column, prefix_width: Column
     gap = F.greatest(want, least)
     ok = finite(prefix_left) & finite(title_left) & finite(prefix_width) & finite(size) & (title_left >= prefix_left) & (prefix_width >= 0) & (size > 0)
     return F.when(ok, F.struct(gap.alias("gap"), (prefix_left + prefix_width + gap).alias("title_left"), (want < least).alias("clamped")))
+
+
+def same_characters(a: Column, b: Column) -> Column:
+    """Whether two arrays of characters agree in every field, absent fields included."""
+    return (F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), lambda same: same)
+
+
+def paragraph_identity(before: Column, after: Column, translated: Column) -> Column:
+    """A paragraph left as it was: the same characters, and no translation or one that reads the same."""
+    return same_characters(before, after) & (translated.isNull() | same_without_space(translated, plain_text(before)))
+
+
+def glyph_base(name: Column) -> Column:
+    """The part of a glyph name that a glyph list is asked for; null for names of several characters."""
+    base = F.split_part(name, F.lit("."), F.lit(1))
+    return F.when((base != "") & ~base.contains("_"), base)
+
+
+def glyph_character(name: Column, table: Column) -> Column:
+    """The one character of a glyph name by a map of names; null for controls and noncharacters."""
+    c = F.try_element_at(table, glyph_base(name))
+    return F.when((F.length(c) == 1) & ~c.rlike(r"\p{Cc}") & ~noncharacter(F.ascii(c)), c)
+
+
+def hyphen_marker(char: Column) -> Column:
+    """A mark that extractors give for a hyphen at a line's end."""
+    return char.isin("\u0002", "­", "-", "‐")
+
+
+def high_surrogate(code: Column) -> Column:
+    return code.between(0xD800, 0xDBFF)
+
+
+def ligature_head(char: Column, ligature: Column) -> Column:
+    """Whether a character is the first of what a ligature spells."""
+    return char == F.substring(compare_key(ligature), 1, 1)
+
+
+# Reasons for leaving content as it is, by what they may concern.
+PARAGRAPH_REASONS = ("unreliable_unicode", "unsupported_font", "form_xobject_content", "non_positive_advance", "unlocatable", "typeset_overflow", "typeset_protocol", "placeholder_violation", "content_conservation", "translation_failure")
+
+
+def valid_timeout(seconds: Column) -> Column:
+    return seconds.between(1, 600)
