@@ -36,7 +36,7 @@ FEW = 2_000_000  # ids that are broadcast at most (16 MB); more are joined by a
 SALTS = 256  # edges of one star centre that one task confirms, about
 BITMAP = 32  # longs of the bitmap that bounds what two sets can share
 BLOCK = 1024  # members of a bucket that one task holds of each side, about
-ROUNDS = 4  # of further stars, at most, before the pairs that remain are compared one by one
+ROUNDS = 2  # of further stars, at most, before the pairs that remain are compared one by one
 PAIRS_PER_MEMBER = 4  # remaining pairs for each member of a bucket that are compared without further stars
 WORDS = 200_000  # entries of a worker's table of word hashes; a cache only
 
@@ -186,12 +186,14 @@ def _possible(x, y, similarity: int):
     return (100 * F.least(x("n"), y("n")) >= similarity * F.greatest(x("n"), y("n"))) & ((100 + similarity) * (total - differ) >= 2 * similarity * total)
 
 
-def _apart(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component, with the bucket's largest component marked."""
-    placed = stored(buckets.select("key", "id", "n").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root")), "placed")
+def _apart(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of buckets that hold more than one component, with the bucket's largest component marked and
+    the bitmaps of their sets. Components only grow, so the next turn's members are among this one's."""
+    fields = [c for c in ("key", "id", "n", "bits") if c in members.columns]
+    placed = stored(members.select(*fields).join(roots.withColumnRenamed("node", "id"), "id", "left").select(*fields, F.coalesce("root", "id").alias("root")), "placed")
     shares = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("m")).where("k > 1").select("key", "m", F.col("top.root").alias("main"))
-    out = placed.join(shares, "key").select("key", "m", "id", "n", "root", (F.col("root") == F.col("main")).alias("is_main"))
-    out = stored(out.join(sets.select("id", "bits"), "id"), "apart")
+    out = placed.join(shares, "key").select(*fields, "m", "root", (F.col("root") == F.col("main")).alias("is_main"))
+    out = stored(out if "bits" in fields else out.join(sets.select("id", "bits"), "id"), "apart")
     discard(placed)
     return out
 
@@ -278,9 +280,10 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     roots = connected(links)
 
     # what the stars left apart: more stars around other members, then the few pairs that remain
-    tested, worth = [edges], True
+    tested, worth, apart = [edges], True, buckets
     for turn in range(ROUNDS + 1):
-        apart = _apart(buckets, roots, sets)
+        before, apart = apart, _apart(apart, roots, sets)
+        discard(before)
         spare = apart.groupBy("key").agg(F.count("*").alias("m"), F.count_if(~F.col("is_main")).alias("r")).agg(F.sum(F.col("m") * F.col("r")), F.sum("m")).first()
         last = turn == ROUNDS or not worth or (spare[0] or 0) <= PAIRS_PER_MEMBER * (spare[1] or 0)
         pairs = _rest_pairs(apart, similarity) if last else _new_stars(apart, turn, similarity)
@@ -299,10 +302,9 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 discard(old)
         worth = 20 * found > asked and found >= 50
         tested.append(more)
-        discard(apart)
         if last:
             break
-    for t in (buckets, sets, *tested):
+    for t in (apart, sets, *tested):
         discard(t)
 
     heads = classes.select("cls", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("cls", F.coalesce("root", "id").alias("component"))
