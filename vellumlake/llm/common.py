@@ -17,6 +17,9 @@ ROOT = str(Path(__file__).resolve().parents[2])
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+BATCH_ROWS = 2000  # rows of an Arrow batch at most: texts are long, and both sides hold a batch
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark's reader touches the path, so any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,7 +57,10 @@ def discard(df: DataFrame) -> None:
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """fn over each Arrow batch. Workers find this package by the path it was loaded from."""
-    env = df.sparkSession.sparkContext.environment
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
