@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellumlake.sources.scratch import cut
+
 
 def inherited(nodes: DataFrame, value: str, most: int = 128) -> DataFrame:
     """node -> the first defined value on the way to the root, with its depth (0: the node's own). nodes: node,
@@ -12,11 +14,15 @@ def inherited(nodes: DataFrame, value: str, most: int = 128) -> DataFrame:
     logarithm of the depth."""
     state = nodes.select("node", F.col("parent").alias("up"), F.col(value).alias("v"), F.when(F.col(value).isNotNull(), 0).alias("d"), F.lit(1).alias("step"))
     turns = most.bit_length()
-    for k in range(turns):
+    for _ in range(turns):
         top = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("v").alias("v2"), F.col("d").alias("d2"), F.col("step").alias("s2"))
         state = state.join(top, "up", "left").select(
             "node", F.col("up2").alias("up"), F.coalesce("v", "v2").alias("v"), F.coalesce("d", F.col("step") + F.col("d2")).alias("d"), (F.col("step") + F.coalesce("s2", F.lit(0))).alias("step")
         )
+        # each turn reads the one before twice, so it is written once
+        state = cut(state, "inherited")
+        if state.where("up is not null").isEmpty():
+            break
     deep = F.when(F.col("up").isNotNull(), F.raise_error(F.lit("cycle or too deep a tree")).cast("int")).otherwise(F.col("d"))
     return state.select("node", F.col("v").alias(value), deep.alias("depth"))
 
