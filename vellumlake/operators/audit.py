@@ -65,12 +65,12 @@ def alignment_counts(walked: DataFrame, engine: DataFrame, matches: DataFrame, k
     return out.withColumns({"walk_only": F.col("walked") - F.col("matched"), "engine_only": F.col("engine") - F.col("matched")})
 
 
-def supported_pairs(candidates: DataFrame, anchors: DataFrame, reach: int = 1, most: int = 20) -> DataFrame:
+def supported_pairs(candidates: DataFrame, anchors: DataFrame, reach: int = 1) -> DataFrame:
     """Pairs (l, r) unique on both sides whose neighbour in sequence is an accepted pair; accepted ones become anchors
     until nothing is added. Returns the accepted pairs without the given anchors."""
     accepted, n = anchors.select("l", "r").distinct(), -1
     rest = candidates.select("l", "r").distinct()
-    for _ in range(most):
+    while True:
         free = rest.join(accepted.select("l"), "l", "left_anti").join(accepted.select("r"), "r", "left_anti")
         one = free.withColumns({"_a": F.count("*").over(Window.partitionBy("l")), "_b": F.count("*").over(Window.partitionBy("r"))}).where("_a = 1 and _b = 1")
         steps = [d for d in range(-reach, reach + 1) if d]

@@ -86,7 +86,7 @@ def supported_alignment(spark, sf_dir):
     """Repeated to a fixpoint; tests compare it with a plain loop."""
     e = rel.table(spark, sf_dir, "events")
     c = e.select(F.col("event_id").alias("l"), (F.col("event_id") + F.when(F.col("event_id") % 13 == 0, 1).otherwise(0)).alias("r"))
-    return A.supported_pairs(c, c.where("l % 100 = 1"), 1, 8)
+    return A.supported_pairs(c, c.where("l % 100 = 1"), 1)
 
 
 @query("""WITH e AS (SELECT user_id, event_id, event_type = 'click' AS matched FROM events), g AS (SELECT *, sum(CAST(matched AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM e)
