@@ -73,3 +73,38 @@ def test_no_entity_survives(spark, sf_dir):
     texts = "\n".join(r.text for r in pii.replace(docs).collect())
     assert len(was) > 50 and not [e for e in was if e in texts]
     assert docs.count() == pii.replace(docs).count()
+
+
+LONG = [
+    ("token=" + "aB3dE6gH9k" * 60, "token="),
+    ("key 0123456789abcdef" + "0f" * 57, "key "),
+    ("KEY 0123456789ABCDEF" + "0F" * 57, "KEY "),
+    ("use sk-" + "aBcDeFgHiJ" * 9, "use sk-"),
+    ("use ghp_" + "a1B2c3D4e5" * 5, "use ghp_"),
+    ("AKIA" + "Q7W8E9R0T1" * 2, "AKIA"),
+    ("to " + "annabel" * 20 + "@example.com", "to "),
+    ("to ann@" + "sub." * 12 + "example.com", "to "),
+]
+
+
+def test_long_entities_leave_no_tail(spark):
+    """Just above the bounds that the patterns once had: no piece of six characters of the entity stays."""
+    for (text, lead), new in zip(LONG, replaced(spark, *(t for t, _ in LONG))):
+        entity, tail = text[len(lead):].removesuffix(".com"), new[len(lead):].removesuffix(".com")
+        assert len(new) == len(text) and new.startswith(lead), (text, new)
+        assert not [i for i in range(len(entity) - 5) if tail[i : i + 6] == entity[i : i + 6]], (text, new)
+
+
+def test_names_of_many_words(spark):
+    texts = ["Dr Anna Maria Schmidt kam", "Mr. John F. Kennedy spoke", "Frau J.-P. Weber da", "Herr J.F. Lang-Müller Brandt ging", "Mrs " + "Abcde" * 10 + " ok"]
+    out = replaced(spark, *texts)
+    for text, new in zip(texts, out):
+        for word in re.findall(r"\w{4,}", text)[0 if text.startswith("Dr") else 1 if text[:4] in ("Frau", "Herr") else 0 : -1]:
+            assert word not in new, (text, new)
+        assert new.split()[0] == text.split()[0] and new.split()[-1] == text.split()[-1]
+
+
+def test_very_long_secret(spark):
+    text = "token=" + "aB3dE6gH9k" * 10_000
+    (new,) = replaced(spark, text)
+    assert len(new) == len(text) and "aB3dE6gH9k" not in new

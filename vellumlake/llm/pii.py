@@ -27,6 +27,7 @@ FEW = 100_000  # re-derived entities that are broadcast at most
 _OCTET = r"\d{1,3}"
 FEMALE, MALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Sra|Srta|Señora|Signora", "Mr|Herr|Monsieur|Sr|Señor|Signor"
 TITLES = f"{FEMALE}|{MALE}|Dr|Prof"
+_WORD = r"(?:(?:\p{Lu}\.-?)++(?:\p{Lu}[\p{L}'-]*+)?|\p{Lu}[\p{L}'-]*+)"  # a name, initials, or both without a space
 NAMES = {
     "f": ("Alma", "Berta", "Clara", "Dora", "Edith", "Flora", "Greta", "Hanna", "Irma", "Julia", "Klara", "Laura", "Mira", "Nora", "Olga", "Paula"),
     "m": ("Anton", "Bruno", "Carl", "Dario", "Emil", "Felix", "Georg", "Hugo", "Igor", "Jonas", "Konrad", "Leo", "Marco", "Nils", "Oskar", "Paul"),
@@ -37,21 +38,21 @@ SCRIPTS = (("а", 32), ("α", 17), ("А", 32), ("Α", 17), ("א", 27), ("ا", 10
 
 #: One alternative for each kind, most specific first; none can run over long texts more than once.
 PATTERN = "|".join((
-    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,128}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    r"(?<![\p{L}\p{N}_])(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,512}",
+    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    r"(?<![\p{L}\p{N}_])(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,}+",
     rf"(?<![\d.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?!\d|\.\d)",
     r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
     r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
-    r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z-]{20,64})(?![\p{L}\p{N}])",
+    r"(?<![\p{L}\p{N}])(?:(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16,}+|gh[pousr]_[0-9A-Za-z]{36,}+)(?![\p{L}\p{N}])|sk-[0-9A-Za-z-]{20,}+)",
     r"(?<![\p{L}\p{N}.])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7})(?![\p{L}\p{N}])",
     r"(?<![\p{L}\p{N}+])(?:\+?\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
     r"(?<![\p{L}\p{N}+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\d-])",
     r"(?<![\p{L}\p{N}-])\d{3}-\d{3}-\d{4}(?![\d-])",
-    rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\b\.? \p{{Lu}}[\p{{L}}'-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'-]{{1,40}})?",
+    rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\b\.? {_WORD}(?: {_WORD})*+",
 ))
 #: Cheap test that all of the patterns need.
-HINT = rf"[@\d]|(?<![\p{{L}}])(?:{TITLES})\b|(?i:token|secret|passw|api.?key|access.?key)"
+HINT = rf"[@\d]|(?<![\p{{L}}])(?:{TITLES})\b|(?i:token|secret|passw|api.?key|access.?key)|sk-|gh[pousr]_|AKIA|[a-f]{{32}}|[A-F]{{32}}"
 KINDS = ("email", "name", "ip", "secret", "iban", "card", "id", "phone")
 
 
@@ -111,8 +112,6 @@ def _letter(base: str, size: int, r: Column) -> Column:
 def _masked(text: Column, ks: Column, hexa: Column | None = None) -> Column:
     """Each letter and digit replaced by one of its own script and case, the rest kept. The place counts letters
     and digits only, so separators don't change what stands between them."""
-    zero = F.struct(F.lit(0).alias("i"), F.lit("").alias("s"))
-
     def one(c, r):
         out = F.when(c.rlike("[0-9]"), F.pmod(r, F.lit(10)).cast("string"))
         if hexa is not None:
@@ -122,11 +121,10 @@ def _masked(text: Column, ks: Column, hexa: Column | None = None) -> Column:
             out = out.when((F.ascii(c) >= ord(base)) & (F.ascii(c) < ord(base) + size), _letter(base, size, r))
         return out.when(c.rlike(r"\p{Lu}"), _letter("A", 26, r)).when(c.rlike(r"\p{L}"), _letter("a", 26, r)).otherwise(c)
 
-    def step(acc, c):
-        out = F.when(c.rlike(r"[\p{L}\p{N}]"), let(_nibbles(ks, acc["i"]), lambda r: one(c, r))).otherwise(c)
-        return F.struct((acc["i"] + c.rlike(r"[\p{L}\p{N}]").cast("int")).alias("i"), F.concat(acc["s"], out).alias("s"))
-
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), zero, step, lambda acc: acc["s"])
+    # letters and what stands around them apart: the work grows in proportion to the text
+    letters = F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""), ""), lambda c: c != "")
+    new = F.transform(letters, lambda c, i: let(_nibbles(ks, i), lambda r: one(c, r)))
+    return F.array_join(F.zip_with(F.split(text, r"[\p{L}\p{N}]", -1), F.concat(new, F.array(F.lit(""))), lambda p, s: F.concat(p, s)), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -154,7 +152,7 @@ def _ip(e: Column, ks: Column) -> Column:
 
 
 def _name(e: Column, key: Column, turn: Column) -> Column:
-    """Title kept; of two names the first comes from the title's gender (Latin script), the rest is masked and
+    """Title kept; of several names the first comes from the title's gender (Latin script), the rest is masked and
     depends on that name alone, so a surname alone stays recognisable."""
     title = F.regexp_extract(e, rf"^(?:{TITLES})\b\.? ", 0)
     words = F.split(F.regexp_replace(e, rf"^(?:{TITLES})\b\.? ", ""), " ")
@@ -164,7 +162,7 @@ def _name(e: Column, key: Column, turn: Column) -> Column:
 
     def one(w, i):
         own = _stream(key, F.concat(F.lit("name:"), F.lower(w)), turn)
-        first = (F.size(words) == 2) & (i == 0) & w.rlike(r"^[\p{IsLatin}'-]+$")
+        first = (F.size(words) >= 2) & (i == 0) & w.rlike(r"^[\p{IsLatin}'-]{2,}$")
         return let(own, lambda ks: F.when(first, F.element_at(pick, F.pmod(_nibbles(ks, F.lit(0)), F.lit(16)) + 1)).otherwise(_masked(w, ks)))
 
     return F.concat(title, F.array_join(F.transform(words, one), " "))
@@ -178,7 +176,8 @@ def surrogate(e: Column, key: Column, turn: Column) -> Column:
         top = F.concat(F.lit("."), F.substring_index(domain, ".", -1))
         email = F.concat(_masked(local, s), F.lit("@"), let(host, lambda h: _masked(F.substr(domain, F.lit(1), F.length(domain) - F.length(top)), h)), top)
         value = F.regexp_extract(e, r"(?:^(?:AKIA|gh[pousr]_|sk-)|[=:]\s{0,3}[\"']?|^)([A-Za-z0-9_/+-]+)$", 1)
-        secret = F.concat(F.substr(e, F.lit(1), F.length(e) - F.length(value)), _masked(value, s, value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
+        hexa = lambda v: v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+        secret = let(value, lambda v: F.concat(F.substr(e, F.lit(1), F.length(e) - F.length(v)), let(hexa(v), lambda h: _masked(v, s, h))))
         lead = F.regexp_extract(e, r"^\+\d{1,3}(?=\D)", 0)
         phone = F.concat(lead, _masked(F.substr(e, F.length(lead) + 1), s))
         iban = F.concat(F.substr(e, F.lit(1), F.lit(2)), _masked(F.substr(e, F.lit(3)), s))
