@@ -29,3 +29,22 @@ def test_empty(spark):
     assert m.languages == () and L.fused(L.evidence(docs, None, m), m.languages).count() == 0
     some = spark.createDataFrame([(1, "x", None, None)], docs.schema)
     assert L.fused(L.evidence(some, None, L.learn(some)), ()).first().lang is None
+
+
+def test_every_letter_counts(spark):
+    """Letters beyond the 256 lowest code points, in words that the model hasn't seen."""
+    low = [chr(c) for c in range(0x100, 0x500) if chr(c).isalpha() and chr(c).lower() == chr(c)]
+    kana, hangul = [chr(c) for c in range(0x3042, 0x3082)], [chr(c) for c in range(0xAC00, 0xAC40)]
+    alphabets = {"la": low, "ja": kana, "ko": hangul}
+    assert len(low) > 256
+    docs = spark.createDataFrame([(i, "".join(a), x, "h") for i, (x, a) in enumerate(alphabets.items())], "doc_id bigint, text string, lang string, source string")
+    m = L.learn(docs)
+    assert set(m.letters) >= {*low, *kana, *hangul}
+    unseen = spark.createDataFrame([(i, "".join(a[::-1][:40]), None, "h") for i, a in enumerate(alphabets.values())], docs.schema)
+    got = {r.doc_id: r.text_lang for r in L.fused(L.evidence(unseen, None, m), m.languages).collect()}
+    assert got == dict(enumerate(alphabets))
+
+
+def test_letters_of_words_beyond_the_model(spark):
+    docs = spark.createDataFrame([(i, t, x, "h") for i, (t, x) in enumerate([("aa aa", "en"), ("あい", "ja"), ("가각", "ko")])], "doc_id bigint, text string, lang string, source string")
+    assert set(L.learn(docs, words=1).letters) == set("あい가각")

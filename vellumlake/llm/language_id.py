@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,10 @@ class WordModel:
     letters: tuple[str, ...]
     letter_table: np.ndarray
 
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return np.array([ord(c) for c in self.letters], np.uint32)
+
     def likelihood(self, text: str) -> np.ndarray:
         """log P(text | language), tempered, up to a constant."""
         low = text.lower()
@@ -55,10 +60,12 @@ class WordModel:
         if known:
             n = len(known)
             out += np.bincount(known, minlength=len(self.table)) @ self.table / max(1.0, n / TEMPER)
-        if not low.isascii():
-            counts = np.array([low.count(c) for c in self.letters], float)
-            if counts.sum():
-                out += counts @ self.letter_table / max(1.0, counts.sum() / TEMPER)
+        if self.letters and not low.isascii():
+            codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), "<u4")
+            at = np.searchsorted(self.codes, codes := codes[codes > 127])
+            at, counts = np.unique(at[self.codes.take(at, mode="clip") == codes], return_counts=True)
+            if len(at):
+                out += counts @ self.letter_table[at] / max(1.0, counts.sum() / TEMPER)
         return out
 
 
@@ -82,11 +89,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS) -> WordMode
     np.add.at(table, (got.w.map(vocabulary).to_numpy(), got.lang.map({x: i for i, x in enumerate(langs)}).to_numpy()), got.n.to_numpy(float))
     table = np.log(table / table.sum(0))
     letters: dict[str, np.ndarray] = {}
-    for w, lang, n in zip(got.w, got.lang, got.n):
-        for c in w:
-            if ord(c) > 127 and c.isalpha():
-                letters.setdefault(c, np.full(len(langs), 0.5))[langs.index(lang)] += n
-    names = tuple(sorted(letters))[:256]
+    # of all words, also of those beyond the model: at most the letters of Unicode
+    seen = counted.where(F.col("lang").isin(*langs)).select("lang", "n", F.explode(F.split("w", "")).alias("c")).where(F.col("c").rlike(r"[^\x00-\x7F]"))
+    for lang, c, n in seen.groupBy("lang", "c").agg(F.sum("n").alias("n")).collect():
+        if c.isalpha():
+            letters.setdefault(c, np.full(len(langs), 0.5))[langs.index(lang)] += n
+    names = tuple(sorted(letters))
     matrix = np.array([letters[c] for c in names]) if names else np.zeros((0, len(langs)))
     if names:
         matrix = np.log(matrix / (matrix.sum(1, keepdims=True)))  # P(language | letter): rare letters don't dominate
