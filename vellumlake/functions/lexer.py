@@ -19,6 +19,8 @@ _WORDS = {"thousand": 3, "million": 6, "billion": 9, "K": 3, "M": 6, "B": 9, "
 _UNITS = "GHz MHz kHz dpi bits bytes bit byte km cm mm ms Hz KB MB GB TB mV mA kW dB px pt °C min s h m K V A W".split()
 
 _CN = "".join([*_DIGITS, *_POWERS])
+#: Cheap test that all tokens need.
+HINT = f"[0-9{_CN}]"
 _TOKEN = re.compile(
     rf"(?P<den>[{_CN}]+)分之(?P<num>[{_CN}]*)"
     r"|\[[0-9, ]*[0-9][0-9, ]*\]"

@@ -290,9 +290,9 @@ def section_number_gap(spark, sf_dir):
 @query()
 def conserved_tokens_full(spark, sf_dir):
     """Tokens by the full lexer, by language; unit tests hold its cases."""
-    from vellumlake.functions.lexer import tokens_of
+    from vellumlake.functions.lexer import HINT, tokens_of
 
-    p = rel.paragraphs(spark, sf_dir).where(F.col("src").rlike(r"[0-9一二三四五六七八九十]"))
+    p = rel.paragraphs(spark, sf_dir).where(F.col("src").rlike(HINT))
     return p.select("lang", F.explode(tokens_of("src")).alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
 
 
