@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
+from vellumlake.llm import common
 from vellumlake.llm import near_dedup as N
 
 
@@ -57,6 +58,36 @@ def test_groups_that_stars_part(spark, monkeypatch):
     assert got(df, width=2) == brute(rows, 2)
 
 
+def test_a_hot_bucket_without_broadcasts(spark, monkeypatch):
+    """Many different texts with one beginning, every size bound at its least: hot keys and hot ends of edges are dealt out."""
+    for where, name, value in ((common, "BROADCAST_BYTES", 0), (common, "HOT_ROWS", 3), (N, "FEW", 0), (N, "SALTS", 2), (N, "BLOCK", 8), (N, "PAIRS_PER_MEMBER", 0)):
+        monkeypatch.setattr(where, name, value)
+    random.seed(5)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(90):
+        words = list(base)
+        for k in random.sample(range(100), random.choice([3, 6, 9, 14])):
+            words[k] = f"x{random.randint(0, 10**6)}"
+        rows.append((1000 - i, " ".join(words)))
+    rows += [(2000 + i, rows[i % 3][1]) for i in range(30)] + [(3000 + i, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert got(df, width=2) == brute(rows, 2)
+
+
+def test_looked_up_equals_a_join(spark):
+    rows = spark.createDataFrame([(i, None if i % 4 == 0 else "hot" if i % 3 else f"k{i}", i) for i in range(400)], "id bigint, k string, _hot bigint")
+    table = rows.where("k is not null").groupBy("k").count().select("k", "count", "k").toDF("k", "n", "v")
+    for how in ("left", "inner"):
+        want = sorted(map(str, rows.join(table, ["k"], how).select("id", "k", "_hot", "n", "v").collect()))
+        for bound, least in ((None, 1000), (0, 1000), (0, 5)):
+            common.HOT_ROWS, before = least, common.HOT_ROWS
+            try:
+                got_ = common.looked_up(rows, table, ["k"], common.F.col("id"), count="n", how=how, bound=bound)
+                assert sorted(map(str, got_.select("id", "k", "_hot", "n", "v").collect())) == want
+            finally:
+                common.HOT_ROWS = before
+
+
 def test_odd_rows(spark):
     rows = [(5, "a b c"), (3, "A B C"), (4, "one"), (1, "ONE"), (8, None), (9, ""), (10, " \t"), (11, "É b c"), (12, "é b c"), (13, "x " * 40000), (14, "x")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id bigint, text string, keys string")

@@ -11,6 +11,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Java and Python (bytes) pattern of the words of the contracts.
@@ -18,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 BATCH_ROWS = 2000  # rows of an Arrow batch at most: texts are long, and both sides hold a batch
+BROADCAST_BYTES = 16 << 20  # measured bytes of a table that is broadcast whole, at most
+HOT_ROWS, HOT_KEYS = 1_000, 1_000  # a key is hot beyond so many rows and beyond that share of all: so many keys at most
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,3 +90,60 @@ def pieces(batch: pa.RecordBatch, most_bytes: int = 16 << 20) -> Iterator[pa.Rec
     step = max(1, int(batch.num_rows * most_bytes / batch.nbytes))
     for i in range(0, batch.num_rows, step):
         yield batch.slice(i, step)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names with as many underscores in front as it takes until none is a column's (in either case)."""
+    have, front = {c.lower() for c in columns}, "_"
+    while any((front + n).lower() in have for n in names):
+        front += "_"
+    return [front + n for n in names]
+
+
+def _width(kind: T.DataType, value: Column) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("bigint")
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"), lambda a, x: a + 16 + _width(kind.elementType, x)), F.lit(0).cast("bigint"))
+        return F.coalesce(F.when(value.isNotNull(), F.size(value).cast("bigint") * 8), F.lit(0).cast("bigint"))
+    if isinstance(kind, T.MapType):
+        return _width(T.ArrayType(kind.keyType), F.map_keys(value)) + _width(T.ArrayType(kind.valueType), F.map_values(value))
+    if isinstance(kind, T.StructType):
+        return sum((_width(f.dataType, value[f.name]) for f in kind.fields), F.lit(8).cast("bigint"))
+    return F.lit(8).cast("bigint")
+
+
+def small(df: DataFrame, bound: int | None = None) -> bool:
+    """Whether the measured bytes of df are at most the bound."""
+    each = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(32).cast("bigint"))
+    return (df.agg(F.sum(each)).first()[0] or 0) <= (BROADCAST_BYTES if bound is None else bound)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, *, count: str | None = None, how: str = "left", bound: int | None = None) -> DataFrame:
+    """rows with the other columns of table, which has one row for each key; how: left or inner.
+
+    A table of checked size is broadcast. Beyond it both sides are dealt by the keys, and neither absent nor hot
+    keys meet in one task: rows with a null key and rows of hot keys take part under numbers of their own (by
+    `spread`), which match nothing. The hot keys' rows of the table, at most HOT_KEYS by the column `count`, are
+    broadcast instead."""
+    if small(table, bound):
+        return rows.join(F.broadcast(table), keys, how)
+    names = [c for c in table.columns if c not in keys]
+    here, salt, there = fresh([*rows.columns, *table.columns], "hot", "salt", "cold")
+    out, apart = rows, F.lit(False)
+    for k in keys:
+        apart = apart | F.col(f"`{k}`").isNull()
+    if count:
+        total = table.agg(F.sum(count)).first()[0] or 0
+        hot = table.where(F.col(count) > max(HOT_ROWS, total // HOT_KEYS)).select(*keys, F.struct(*names).alias(here))
+        out = rows.join(F.broadcast(hot), keys, "left")
+        apart = apart | F.col(here).isNotNull()
+    else:
+        out = rows.withColumn(here, F.lit(None).cast(T.StructType([table.schema[c] for c in names])))
+    out = out.withColumn(salt, F.when(apart, 1 + F.pmod(F.xxhash64(spread), F.lit(4093))).otherwise(F.lit(0).cast("bigint")))
+    cold = table.select(*keys, F.struct(*names).alias(there), F.lit(0).cast("bigint").alias(salt))
+    out = out.join(cold, [*keys, salt], "left").withColumn(here, F.coalesce(here, there))
+    if how == "inner":
+        out = out.where(F.col(here).isNotNull())
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), *(F.col(f"{here}.{c}").alias(c) for c in names))

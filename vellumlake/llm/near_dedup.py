@@ -28,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumlake.llm.common import discard, map_arrow, pieces, stored, text_or_empty
+from vellumlake.llm.common import discard, looked_up, map_arrow, pieces, stored, text_or_empty
 
 BINS, BANDS, ROWS = 128, 32, 4  # a pair of similarity 0.8 shares no bucket with probability 5e-8
 SIMILARITY = 80  # per cent
 FEW = 2_000_000  # ids that are broadcast at most (16 MB); more are joined by a shuffle
-SALTS = 256  # edges of one star centre that one task confirms, about
+SALTS = 256  # edges of one document that one task confirms, about
 BITMAP = 32  # longs of the bitmap that bounds what two sets can share
-BLOCK = 1024  # members of a bucket that one task holds of each side, about
+BLOCK = 256  # members of a bucket that one task holds of each side, about
 ROUNDS = 2  # of further stars, at most, before the pairs that remain are compared one by one
 PAIRS_PER_MEMBER = 4  # remaining pairs for each member of a bucket that are compared without further stars
 WORDS = 200_000  # entries of a worker's table of word hashes; a cache only
@@ -144,14 +144,20 @@ def _member_sets(buckets: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _confirmed(edges: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The edges (a, b) whose full sets are similar enough. b may be a hot centre: its set goes to as many salts
-    as it has edges for."""
-    salts = edges.groupBy("b").agg(F.ceil(F.count("*") / SALTS).cast("int").alias("salts"))
-    salted = edges.join(salts, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int"))
-    centres = salts.join(sets.withColumnRenamed("id", "b"), "b").select("b", F.col("h").alias("hb"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    both = salted.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a").join(centres, ["b", "salt"])
+    """The edges (a, b) whose full sets are similar enough. Either end may have many edges: its set goes to as many
+    salts as it has edges for."""
+    salts = F.ceil(F.col("d") / SALTS).cast("int")
+    many = stored(edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d")).where(F.col("d") > SALTS).select("id", "d", salts.alias("salts")), "many")
+    copies = looked_up(sets.select("id", "h"), many, ["id"], F.col("id")).select("id", "h", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    both = edges
+    for end, other in (("a", "b"), ("b", "a")):
+        busy = many.select(F.col("id").alias(end), "d", "salts")
+        both = looked_up(both, busy, [end], F.col(other), count="d").drop("d").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+        both = both.join(copies.select(F.col("id").alias(end), F.col("h").alias("h" + end), "salt"), [end, "salt"]).drop("salt")
     shared = both.select("a", "b", (F.size("ha") + F.size("hb")).alias("total"), F.size(F.array_intersect("ha", "hb")).alias("common"))
-    return stored(shared.where(100 * F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("a", "b"), "links")
+    out = stored(shared.where(100 * F.col("common") >= similarity * (F.col("total") - F.col("common"))).select("a", "b"), "links")
+    discard(many)
+    return out
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -192,28 +198,52 @@ def _apart(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     fields = [c for c in ("key", "id", "n", "bits") if c in members.columns]
     placed = stored(members.select(*fields).join(roots.withColumnRenamed("node", "id"), "id", "left").select(*fields, F.coalesce("root", "id").alias("root")), "placed")
     shares = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("m")).where("k > 1").select("key", "m", F.col("top.root").alias("main"))
-    out = placed.join(shares, "key").select(*fields, "m", "root", (F.col("root") == F.col("main")).alias("is_main"))
+    shares = stored(shares, "shares")
+    out = looked_up(placed, shares, ["key"], F.col("id"), count="m", how="inner").select(*fields, "m", "root", (F.col("root") == F.col("main")).alias("is_main"))
     out = stored(out if "bits" in fields else out.join(sets.select("id", "bits"), "id"), "apart")
     discard(placed)
+    discard(shares)
     return out
 
 
 def _new_stars(apart: DataFrame, turn: int, similarity: int) -> DataFrame:
     """Two more stars in each bucket: around a member of its largest component and around one of the others."""
     member = F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "n", "root", "bits")
-    centres = apart.groupBy("key").agg(F.min(F.when(F.col("is_main"), member)).alias("c"), F.min(F.when(~F.col("is_main"), member)).alias("d"))
-    here, there = (lambda c: F.col("x." + c)), (lambda c: F.col("y." + c))
+    centres = stored(apart.groupBy("key").agg(F.min(F.when(F.col("is_main"), member)).alias("c"), F.min(F.when(~F.col("is_main"), member)).alias("d"), F.max("m").alias("size")), "centres")
+    spokes = looked_up(apart.select("key", F.struct("id", "n", "root", "bits").alias("x")), centres, ["key"], F.col("x.id"), count="size", how="inner")
+    here = lambda c: F.col("x." + c)
 
     def star(centre: str) -> DataFrame:
-        spokes = apart.alias("x").join(centres.select("key", f"{centre}.*").alias("y"), (here("key") == there("key")) & (here("root") != there("root")) & _possible(here, there, similarity))
-        return spokes.select(here("id").alias("a"), there("id").alias("b"))
+        there = lambda c: F.col(f"{centre}.{c}")
+        return spokes.where((here("root") != there("root")) & _possible(here, there, similarity)).select(here("id").alias("a"), there("id").alias("b"))
 
     return star("c").unionAll(star("d"))
 
 
-def _rest_pairs(apart: DataFrame, similarity: int) -> DataFrame:
-    """Every pair of a bucket that lies in two components and can be similar enough. A bucket is cut into blocks
-    of about BLOCK members and each task compares two blocks, as whole bitmaps; only possible pairs become rows."""
+def _refined(apart: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The members of large buckets, dealt anew: key, m, id, n, root, bits. Of two sets that are similar enough, the
+    first n - ceil(similarity * n / 100) + 1 elements of each, rarest first, share one at least; so members meet by
+    each of these elements, and no pair of a bucket is lost."""
+    members = stored(apart.dropDuplicates(["id"]).select("id", "n", "root", "bits"), "members")
+    elements = stored(members.select("id").join(sets.select("id", "h"), "id").select("id", F.explode("h").alias("e")), "elements")
+    counts = stored(elements.groupBy("e").agg(F.count("*").alias("m")).where("m > 1"), "counts")
+    rare_first = F.array_sort(F.collect_list(F.struct(F.coalesce("m", F.lit(1)).alias("m"), "e")))
+    ranked = looked_up(elements, counts, ["e"], F.col("id"), count="m").groupBy("id").agg(rare_first.alias("s"))
+    n = F.size("s")
+    first = F.slice("s", F.lit(1), n - F.floor((similarity * n + 99) / 100).cast("int") + 1)
+    met = ranked.select("id", F.explode(F.filter(first, lambda x: x["m"] > 1)).alias("x")).select("id", F.col("x.e").alias("key"))
+    sizes = stored(met.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    return looked_up(met, sizes, ["key"], F.col("id"), count="m", how="inner").join(members, "id").select("key", "id", "n", "root", "bits", "m")
+
+
+def _rest_pairs(apart: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Every pair of a bucket that lies in two components and can be similar enough. Members of buckets beyond BLOCK
+    meet by their rarest elements instead. What is still beyond it is cut into blocks of about BLOCK members, and each
+    task compares two blocks, as whole bitmaps; only possible pairs become rows."""
+    large = F.col("m") > BLOCK
+    if not apart.where(large).isEmpty():
+        fields = ["key", "id", "n", "root", "bits", "m"]
+        apart = apart.where(~large).select(*fields).unionAll(stored(_refined(apart.where(large), sets, similarity), "refined"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = apart.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("key", "id"), blocks).cast("int").alias("block"))
     tiles = own.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "block", "id", "n", "root", "bits")
@@ -269,10 +299,12 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """id, n_shingles, component_id (the least id reachable) and kept, of every row."""
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     rows = stored(_sketched(docs, width), "sketches")
-    classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "classes")
     spread = classes.where("id is not null").select("id", "n", F.explode("keys").alias("key"))
-    stars = spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c")
-    buckets = stored(spread.join(stars, "key").select("key", "id", "n", F.col("c.id").alias("c"), F.col("c.n").alias("cn")), "buckets")
+    stars = spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"), "m")
+    stars = stored(stars, "centres")
+    buckets = stored(looked_up(spread, stars, ["key"], F.col("id"), count="m", how="inner").select("key", "id", "n", "c", "cn"), "buckets")
+    discard(stars)
     near = lambda x, y: 100 * F.least(x, y) >= similarity * F.greatest(x, y)
     edges = stored(buckets.where("id <> c").where(near(F.col("n"), F.col("cn"))).select(F.col("id").alias("a"), F.col("c").alias("b")).distinct(), "edges")
     sets = _member_sets(buckets, docs, width)
@@ -286,7 +318,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         discard(before)
         spare = apart.groupBy("key").agg(F.count("*").alias("m"), F.count_if(~F.col("is_main")).alias("r")).agg(F.sum(F.col("m") * F.col("r")), F.sum("m")).first()
         last = turn == ROUNDS or not worth or (spare[0] or 0) <= PAIRS_PER_MEMBER * (spare[1] or 0)
-        pairs = _rest_pairs(apart, similarity) if last else _new_stars(apart, turn, similarity)
+        pairs = _rest_pairs(apart, sets, similarity) if last else _new_stars(apart, turn, similarity)
         known = tested[0]
         for t in tested[1:]:
             known = known.unionAll(t)
@@ -307,7 +339,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     for t in (apart, sets, *tested):
         discard(t)
 
-    heads = classes.select("cls", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("cls", F.coalesce("root", "id").alias("component"))
-    out = rows.select("id", "n", "cls").join(heads, "cls", "left")
+    heads = stored(classes.select("cls", "copies", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("cls", "copies", F.coalesce("root", "id").alias("component")), "heads")
+    out = looked_up(rows.select("id", "n", "cls"), heads, ["cls"], F.col("id"), count="copies")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
