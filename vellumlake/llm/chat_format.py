@@ -1,27 +1,37 @@
 """Chat formatting with DataFrame functions only.
 
-Layouts are told apart by a fingerprint: the hash of the sorted nested field paths, of a
-DataFrame's schema (typed columns) or of each row's own JSON object (heterogeneous rows). A
-fingerprint, or the paths that a mapping needs, selects a declarative mapping to canonical
-turns array<struct<role,text>>; these are rendered with marked turns, the control characters
-inside texts being escaped reversibly, and with the spans of the loss mask.
+A row's layout is the sorted list of its nested field paths: of its columns that aren't null
+(typed rows; sources of several layouts are read into one merged schema), or of its JSON object,
+where null values have paths like others. Types don't count. The hash of that list is the row's fingerprint, and the
+fingerprint selects a declarative mapping to canonical turns array<struct<role,text>>: CATALOGUE
+holds the fingerprints of the declared layouts with every choice of their optional fields, and
+layouts() makes such a table for the fingerprints beyond it, one row for each distinct one.
+Turns are rendered with marks, control characters inside texts being escaped reversibly, and
+with the spans of the loss mask.
 
 Defined results: null texts count as empty, null roles as "" ; a conversation without turns
-formats to ""; turns with equal numbers are ordered by role, then text; rows whose layout no
-mapping knows get null turns and keep their fingerprint; clashing column names are not read.
+formats to ""; turns with equal numbers are ordered by role, then text, and repeated rows are
+repeated turns; rows without a conv_id are one conversation, as in SQL; rows whose layout no
+mapping knows, JSON that can't be read or is deeper than DEPTH among them, get null turns and
+keep their fingerprint; other columns are not read. A conversation is a unit of output, so one
+task holds its whole text, and work on it is in proportion to its length.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vellumlake.llm.common import looked_up, stored
+
 TURNS = "array<struct<role:string,text:string>>"
 OPEN, CLOSE = "<turn ", "</turn>\n"
+DEPTH = 6  # levels of a JSON object that count for its fingerprint
 
 
 @dataclass(frozen=True)
@@ -64,13 +74,87 @@ def fingerprint(found: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
 
 
-def select_mapping(schema: T.DataType, mappings=MAPPINGS, known: dict[str, Mapping] | None = None) -> tuple[str, Mapping | None]:
-    """The fingerprint of a schema and the mapping for it: by `known` fingerprints, else by needed paths."""
-    found = paths(schema)
-    mark = fingerprint(found)
-    if known and mark in known:
-        return mark, known[mark]
-    return mark, next((m for m in mappings if set(m.needs) <= set(found)), None)
+def mark(found: Column) -> Column:
+    """fingerprint() of a column of sorted paths."""
+    return F.substring(F.sha2(F.array_join(found, "\n"), 256), 1, 16)
+
+
+def catalogue(mappings=MAPPINGS) -> dict[str, str]:
+    """fingerprint -> name, of each mapping with each choice of its optional fields; the first mapping rules."""
+    out: dict[str, str] = {}
+    for m in mappings:
+        optional = [p for _, p in m.fields if p not in m.needs]
+        for n in range(len(optional) + 1):
+            for some in combinations(optional, n):
+                out.setdefault(fingerprint([*m.needs, *some]), m.name)
+    return out
+
+
+CATALOGUE = catalogue()
+
+
+def row_paths(df: DataFrame, ignore: tuple[str, ...] = ()) -> Column:
+    """Sorted nested paths of the columns of a row that aren't null, without those to ignore (ids)."""
+    texts = "array<string>"
+    of = [F.when(F.col(f"`{f.name}`").isNotNull(), F.lit(paths(f.dataType, f.name))).otherwise(F.array().cast(texts)) for f in df.schema.fields if f.name not in ignore]
+    return F.array_sort(F.array_distinct(F.flatten(F.array(*of)))) if of else F.array().cast(texts)
+
+
+def json_paths(raw: Column) -> Column:
+    """Sorted nested paths of a JSON text; elements of arrays as [], characters of paths inside keys escaped."""
+    at, empty = F.try_parse_json(raw), F.lit(None).cast("variant")
+    key = lambda k: F.regexp_replace(k, r"([\\.\[\]\n])", r"\\$1")
+
+    def below(x):
+        inner = F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), lambda e: F.struct(F.concat(x["p"], F.when(x["p"] == "", "").otherwise("."), key(e["key"])).alias("p"), e["value"].alias("v")))
+        items = F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda e: F.struct(F.concat(x["p"], F.lit("[]")).alias("p"), e.alias("v")))
+        leaf = F.array(F.struct(F.when(items.isNotNull(), F.concat(x["p"], F.lit("[]"))).otherwise(x["p"]).alias("p"), empty.alias("v")))
+        return F.when(F.size(inner) > 0, inner).when(F.size(items) > 0, items).otherwise(leaf)
+
+    found = F.array(F.struct(F.lit("").alias("p"), at.alias("v")))
+    for _ in range(DEPTH):
+        found = F.flatten(F.transform(found, below))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: x["p"])))
+
+
+def fitting(found: Column, mappings=MAPPINGS) -> Column:
+    """The name of the first mapping whose needed paths are among the found ones (a list may be empty)."""
+    out = F.lit(None).cast("string")
+    for m in reversed(mappings):
+        fits = F.lit(True)
+        for p in m.needs:
+            fits = fits & F.array_contains(found, p)
+        if m.messages:
+            fits = fits | F.array_contains(found, f"{m.messages}[]")
+        out = F.when(fits, F.lit(m.name)).otherwise(out)
+    return out
+
+
+def layouts(marked: DataFrame, mappings=MAPPINGS) -> DataFrame:
+    """fingerprint, layout, rows, paths: one row for each distinct fingerprint; partial counts before the shuffle."""
+    return marked.groupBy("fingerprint").agg(F.first("paths").alias("paths"), F.count("*").alias("rows")).select("fingerprint", fitting(F.col("paths"), mappings).alias("layout"), "rows", "paths")
+
+
+def with_turns(df: DataFrame, ids: list[str], raw: str | None = None, mappings=MAPPINGS, *, open_world: bool = True) -> DataFrame:
+    """The ids, fingerprint, layout and canonical turns of each row, from its typed columns or the JSON text `raw`.
+    Layouts beyond the catalogue take one more pass over the rows, which open_world=False spares."""
+    found = json_paths(F.col(raw)) if raw else row_paths(df, tuple(ids))
+    named = F.create_map(*(F.lit(x) for pair in catalogue(mappings).items() for x in pair))
+    body = [raw] if raw else [c for c in df.columns if c not in ids]
+    marked = df.select(F.struct(*(F.col(f"`{c}`") for c in ids)).alias("id"), F.struct(*(F.col(f"`{c}`") for c in body)).alias("row"), found.alias("paths")).withColumn("fingerprint", mark(F.col("paths")))
+    marked = marked.withColumn("known", F.try_element_at(named, F.col("fingerprint")))
+    layout = F.col("known")
+    if open_world:
+        table = stored(layouts(marked.where("known is null"), mappings).drop("paths"), "layouts")
+        marked = looked_up(marked, table, ["fingerprint"], F.monotonically_increasing_id(), count="rows")
+        layout = F.coalesce("known", "layout")
+    marked = marked.withColumn("layout", layout)
+    turns, typed = F.lit(None).cast(TURNS), set(paths(marked.schema["row"].dataType))
+    for m in reversed(mappings):
+        one = json_turns(F.col(f"row.`{raw}`"), m) if raw else canonical_turns(marked, m, "row") if set(m.needs) <= typed else None
+        if one is not None:
+            turns = F.when(F.col("layout") == m.name, one).otherwise(turns)
+    return marked.select("id.*", "fingerprint", "layout", turns.alias("turns"))
 
 
 def _role(col: Column, m: Mapping) -> Column:
@@ -97,29 +181,15 @@ def canonical_turns(df: DataFrame, mapping: Mapping, within: str | None = None)
     return F.transform(F.filter(pairs, lambda x: x["k"] | (x["t"]["text"] != "")), lambda x: x["t"])
 
 
-def json_fingerprint(raw: Column) -> Column:
-    """Of each row's JSON object: its nested paths as Spark's own description of the object's shape."""
-    return F.substring(F.sha2(F.schema_of_variant(F.try_parse_json(raw)), 256), 1, 16)
-
-
-def json_turns(raw: Column, mappings=MAPPINGS) -> Column:
-    """Turns of rows whose JSON objects have different layouts; each row takes the first mapping that fits it."""
+def json_turns(raw: Column, m: Mapping) -> Column:
+    """Turns of a JSON object by the mapping."""
     v = F.try_parse_json(raw)
-    out = F.lit(None).cast(TURNS)
-    for m in reversed(mappings):
-        if m.messages:
-            items = F.try_variant_get(v, f"$.{m.messages}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
-            fits = F.exists(items, lambda x: x[m.text].isNotNull() & x[m.role].isNotNull())
-            turns = F.transform(items, lambda x: _turn(_role(x[m.role], m), x[m.text]))  # noqa: B023
-        else:
-            get = lambda p: F.try_variant_get(v, f"$.{p}", "string")
-            fits = F.lit(True)
-            for p in m.needs:
-                fits = fits & get(p).isNotNull()
-            pairs = F.array(*(F.struct(_turn(F.lit(r), get(p)).alias("t"), F.lit(p in m.needs).alias("k")) for r, p in m.fields))
-            turns = F.transform(F.filter(pairs, lambda x: x["k"] | (x["t"]["text"] != "")), lambda x: x["t"])
-        out = F.when(fits, turns).otherwise(out)
-    return out
+    if m.messages:
+        items = F.try_variant_get(v, f"$.{m.messages}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
+        return F.transform(items, lambda x: _turn(_role(x[m.role], m), x[m.text]))
+    get = lambda p: F.try_variant_get(v, f"$.{p}", "string")
+    pairs = F.array(*(F.struct(_turn(F.lit(r), get(p)).alias("t"), F.lit(p in m.needs).alias("k")) for r, p in m.fields))
+    return F.transform(F.filter(pairs, lambda x: x["k"] | (x["t"]["text"] != "")), lambda x: x["t"])
 
 
 def escape(col: Column) -> Column:
@@ -146,16 +216,14 @@ def render(turns: Column) -> Column:
 
 
 def loss_spans(turns: Column, role: str = "assistant") -> Column:
-    """[start, length) of each text of that role in render(turns), in characters."""
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,size:bigint>>").alias("spans"))
+    """[turn, start, size] of each text of that role in render(turns): the turn's number from 0, and characters counted
+    from the beginning of its mark."""
+    def span(t, i):
+        start = F.length(_role_out(t["role"])) + len(OPEN) + 1
+        return F.struct(i.alias("turn"), start.alias("start"), F.length(escape(t["text"])).alias("size"), t["role"].alias("role"))
 
-    def step(acc, t):
-        head = F.length(_role_out(t["role"])).cast("bigint") + len(OPEN) + 1
-        size = F.length(escape(t["text"])).cast("bigint")
-        span = F.array(F.struct((acc["at"] + head).alias("start"), size.alias("size")))
-        return F.struct((acc["at"] + head + size + len(CLOSE)).alias("at"), F.when(t["role"] == role, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(turns, zero, step, lambda acc: acc["spans"])
+    said = F.filter(F.transform(turns, span), lambda s: s["role"] == role)
+    return F.transform(said, lambda s: F.struct(s["turn"].alias("turn"), s["start"].alias("start"), s["size"].alias("size")))
 
 
 def read_back(formatted: Column) -> Column:
@@ -167,25 +235,47 @@ def read_back(formatted: Column) -> Column:
 
 def under_mask(formatted: Column, spans: Column) -> Column:
     """The unescaped text that the loss spans cover, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), s["size"].cast("int")))), "")
-
+    cut = F.split(formatted, CLOSE)
+    # the parts are made once, the spans read them by their number
+    both = F.transform(F.array(cut), lambda parts: F.array_join(F.transform(spans, lambda s: unescape(F.substr(parts[s["turn"]], s["start"] + 1, s["size"]))), ""))
+    return F.element_at(both, 1)
 
-def format_conversations(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Rows by turn to one row each conversation: id, layout, turns, formatted, loss_spans.
 
-    The rows of one conversation meet in one task, as one formatted text needs them; a conversation is a unit of
-    output, so no more than its own text is held."""
+def several_layouts(df: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Rows by turn to one row each conversation, as sources of different layouts have them, in one merged schema:
+    lists of role and content, lists of from and value, prompt and response, instruction and output, by the id's
+    remainder and where the turns allow it. The rows of a conversation meet in one task, as its text needs them."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = df.groupBy(F.col(id_col).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("messages"))
-    mark, mapping = select_mapping(rows.select("messages").schema)
-    turns = canonical_turns(rows, mapping)
-    out = rows.select("conv_id", F.lit(f"{mapping.name}:{mark}").alias("layout"), turns.alias("turns"))
-    return out.select("conv_id", "layout", "turns", render(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"))
+    rows = df.groupBy(F.col(id_col).alias("conv_id")).agg(F.array_sort(F.collect_list(turn)).alias("m"))
+    said = next(m for m in MAPPINGS if m.name == "conversations")
+    pair = (F.size("m") == 2) & (F.col("m")[0]["role"] == "user") & (F.col("m")[1]["role"] == "assistant")
+    k = F.coalesce(F.pmod("conv_id", F.lit(4)), F.lit(0))
+    back = {b: a for a, b in reversed(said.roles)}
+    other = lambda r: F.when(r == "user", back["user"]).when(r == "assistant", back["assistant"]).otherwise(r)
+    kind = F.when((k == 1) & ~F.exists("m", lambda t: t["role"].isin(*(a for a, _ in said.roles))), 1).when((k == 2) & pair, 2).when((k == 3) & pair, 3).otherwise(0)
+    rows = rows.withColumn("kind", kind)
+    part = lambda i: F.col("m")[i]["text"]
+    return rows.select(
+        "conv_id",
+        F.when(F.col("kind") == 0, F.transform("m", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content")))).alias("messages"),
+        F.when(F.col("kind") == 1, F.transform("m", lambda t: F.struct(other(t["role"]).alias("from"), t["text"].alias("value")))).alias("conversations"),
+        *(F.when(F.col("kind") == n, part(i)).alias(c) for n, pair_ in ((2, ("prompt", "response")), (3, ("instruction", "output"))) for i, c in enumerate(pair_)),
+    )
+
+
+def formatted(turns: DataFrame) -> DataFrame:
+    """with_turns() with the formatted text and its loss spans; null where the layout is unknown."""
+    return turns.select("*", render(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss_spans"))
+
+
+def format_conversations(df: DataFrame) -> DataFrame:
+    """Rows by turn, through layouts of several kinds, to conv_id, fingerprint, layout, turns, formatted, loss_spans."""
+    return formatted(with_turns(several_layouts(df), ["conv_id"], open_world=False))
 
 
-def digests(formatted: DataFrame) -> DataFrame:
+def digests(done: DataFrame) -> DataFrame:
     """What a reader of the formatted texts finds; everything comes from the text and the spans."""
-    back = formatted.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    back = done.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
