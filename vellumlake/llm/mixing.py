@@ -9,10 +9,15 @@ permutation, documents up to its share of the token budget. Blocks hold about BL
 so no source, however hot, meets in one task, and what rounding costs is at most half a
 document a block.
 
-Without a budget the least total is taken that gives every document at least once.
-
-Defined results: null texts have no tokens; a null source counts as source ""; rows that are
-equal are placed as one another's copies; with one source or none the weights are the shares.
+Without a budget the least total is taken that gives every document at least once. Mix says
+whether each target was met: an entropy below that of the shares can't be, as weights never
+grow more unequal than the shares.
+
+Defined results: null texts have no tokens; a null source counts as source ""; blocks and
+permutations go by a hash of id and text, so rows without an id and rows that share one are
+dealt like others, and rows equal in both are placed as one another's copies; with one source
+or none the weights are the shares; an empty table has an empty plan; other columns, whatever
+their names, pass through unchanged.
 """
 
 from __future__ import annotations
@@ -23,10 +28,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumlake.llm.common import WORD, stored, text_or_empty
+from vellumlake.llm.common import WORD, fresh, looked_up, stored, text_or_empty
 
 BLOCK = 512  # documents of a block, about
-FEW_SOURCES = 100_000  # sources whose plan is broadcast at most (a few MB); more are joined by a shuffle
 BITS_PER_JOB, JOBS = 5, 8  # midpoints are tried 2**5 - 1 at a time: 40 halvings
 
 
@@ -37,15 +41,29 @@ class Mix:
     budget: float
     total: int
     plan: DataFrame  # source, docs, tokens, weight, target_tokens, epochs
+    repetition: float = 1.0  # of the most repeated source against the least repeated one
+    met_entropy: bool = True
+    met_repetition: bool = True
 
 
 def n_tokens(text: str | Column) -> Column:
     return F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("bigint")
 
 
-def by_source(docs: DataFrame) -> DataFrame:
+def narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, source, n_tokens and key of each row: all that plan() and assignments() need, in one pass over the texts."""
+    return docs.select("doc_id", "source", n_tokens("text").alias("n_tokens"), _key().alias("key"))
+
+
+def _key() -> Column:
+    """What stands for a row in blocks and permutations; absent values take part as their kind's own."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text_or_empty("text"))
+
+
+def by_source(docs: DataFrame, tokens: Column | None = None) -> DataFrame:
     """source, docs, tokens; partial sums before the shuffle."""
-    return docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("docs"), F.sum(n_tokens("text")).alias("tokens"))
+    n = n_tokens("text") if tokens is None else tokens
+    return docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("docs"), F.sum(n).alias("tokens"))
 
 
 def _measured(sources: DataFrame, total: int, alphas: list[float]) -> list[tuple[float, float, float]]:
@@ -74,9 +92,9 @@ def bisected(sources: DataFrame, total: int, met) -> float:
     return high
 
 
-def plan(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget_tokens: float | None = None) -> Mix:
-    """target_entropy: of the weights, as a share of ln(number of sources)."""
-    sources = stored(by_source(docs), "sources")
+def plan(docs: DataFrame, target_entropy: float | None = None, max_repetition: float | None = None, budget_tokens: float | None = None, tokens: Column | None = None) -> Mix:
+    """target_entropy: of the weights, as a share of ln(number of sources); tokens: of a row, where they are counted."""
+    sources = stored(by_source(docs, tokens), "sources")
     row = sources.agg(F.sum("tokens").alias("t"), F.count_if(F.col("tokens") > 0).alias("k")).first()
     total, k = row["t"] or 0, row["k"]
     alpha = 1.0
@@ -99,41 +117,45 @@ def plan(docs: DataFrame, target_entropy: float | None = None, max_repetition: f
     # what arithmetic leaves of a whole epoch is a whole epoch
     epochs = F.when(F.abs(epochs - F.round(epochs)) < 1e-9, F.round(epochs)).otherwise(epochs)
     out = weighted.select("source", "docs", "tokens", "weight", (F.col("weight") * budget).alias("target_tokens"), epochs.alias("epochs"))
-    entropy = _measured(sources, total, [alpha])[0][1] if total else 0.0
-    return Mix(alpha, entropy, budget, total, out)
+    if not total:
+        return Mix(alpha, 0.0, budget, total, out)
+    _, entropy, repetition = _measured(sources, total, [alpha])[0]
+    goal = None if target_entropy is None else target_entropy * math.log(k)
+    return Mix(alpha, entropy, budget, total, out, repetition, goal is None or abs(entropy - goal) <= 1e-6, max_repetition is None or repetition <= max_repetition * (1 + 1e-9))
 
 
-def _placed(docs: DataFrame, mix: Mix, seed: int, keys: list[str]) -> DataFrame:
-    """docs with _source, _n, _epochs and _block; the plan is joined by broadcast up to FEW_SOURCES rows."""
-    few = mix.plan.count() <= FEW_SOURCES
-    p = mix.plan.select(F.col("source").alias("_source"), F.col("epochs").alias("_epochs"), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).alias("_blocks"))
-    rows = docs.withColumns({"_source": F.coalesce("source", F.lit("")), "_n": n_tokens("text")})
-    rows = rows.join(F.broadcast(p) if few else p, "_source")
-    return rows.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), *keys), F.col("_blocks")))
+def _placed(rows: DataFrame, mix: Mix, seed: int, source: str, key: Column, names: list[str]) -> DataFrame:
+    """rows with the columns `names`: epochs of the source and block. source: a column without nulls."""
+    epochs, blocks, block = names
+    p = mix.plan.select(F.col("source").alias(source), F.col("epochs").alias(epochs), F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK)).alias(blocks), F.col("docs").alias(block))
+    out = looked_up(rows, p, [source], key, count=block, how="inner").drop(block)
+    return out.withColumn(block, F.pmod(F.xxhash64(F.lit(seed), key), F.col(blocks))).drop(blocks)
 
 
-def _in_part(order: Window, whole: Window) -> Column:
+def _in_part(n: Column, epochs: Column, order: Window, whole: Window) -> Column:
     """Whether the broken epoch takes a row: its middle lies in the block's share of the budget."""
-    share = (F.col("_epochs") - F.floor("_epochs")) * F.sum("_n").over(whole)
-    return F.sum("_n").over(order) - F.col("_n") / 2 < share
+    share = (epochs - F.floor(epochs)) * F.sum(n).over(whole)
+    return F.sum(n).over(order) - n / 2 < share
 
 
 def mixed(docs: DataFrame, mix: Mix, seed: int = 1) -> DataFrame:
     """docs, each row as often as the plan gives it; columns and texts unchanged."""
-    rows = _placed(docs, mix, seed, ["doc_id"])
-    whole = Window.partitionBy("_source", "_block")
-    rank = F.xxhash64(F.lit(seed), F.floor("_epochs") + 1, F.col("doc_id"))
-    order = whole.orderBy(rank, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    times = F.floor("_epochs").cast("int") + _in_part(order, whole).cast("int")
-    return rows.withColumn("_times", times).where("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(f"`{c}`" for c in docs.columns))
-
-
-def assignments(docs: DataFrame, mix: Mix, seed: int = 1) -> DataFrame:
-    """Every place of every row: doc_id, source, n_tokens, epoch (from 1), block, position in the block's
+    source, n, key, times, copy, *names = fresh(docs.columns, "source", "n", "key", "times", "copy", "epochs", "blocks", "block")
+    rows = docs.withColumns({source: F.coalesce("source", F.lit("")), n: n_tokens("text"), key: _key()})
+    rows = _placed(rows, mix, seed, source, F.col(key), names)
+    epochs, _, block = names
+    whole = Window.partitionBy(source, block)
+    order = whole.orderBy(F.xxhash64(F.lit(seed), F.floor(epochs) + 1, F.col(key)), key, n).rowsBetween(Window.unboundedPreceding, 0)
+    often = F.floor(epochs).cast("int") + _in_part(F.col(n), F.col(epochs), order, whole).cast("int")
+    return rows.withColumn(times, often).where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def assignments(rows: DataFrame, mix: Mix, seed: int = 1) -> DataFrame:
+    """Every place of every row of narrow(): doc_id, source, n_tokens, epoch (from 1), block, position in the block's
     permutation of that epoch. Reading epoch by epoch, blocks in any order, gives the mixed stream."""
-    rows = _placed(docs.select("doc_id", "source", "text"), mix, seed, ["doc_id"]).drop("text")
-    every = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(1), F.ceil("_epochs").cast("int"))))
-    whole = Window.partitionBy("_source", "_block", "_epoch")
-    order = whole.orderBy(F.xxhash64(F.lit(seed), F.col("_epoch").cast("bigint"), F.col("doc_id")), "doc_id", "_n").rowsBetween(Window.unboundedPreceding, 0)
-    placed = every.select("doc_id", "source", F.col("_n").alias("n_tokens"), "_epoch", "_epochs", F.col("_block").alias("block"), F.row_number().over(order).alias("position"), _in_part(order, whole).alias("_in"))
-    return placed.where((F.col("_epoch") <= F.col("_epochs")) | F.col("_in")).select("doc_id", "source", "n_tokens", F.col("_epoch").alias("epoch"), "block", "position")
+    named = rows.select("doc_id", "source", "n_tokens", "key", F.coalesce("source", F.lit("")).alias("of"))
+    every = _placed(named, mix, seed, "of", F.col("key"), ["epochs", "blocks", "block"]).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil("epochs").cast("int"))))
+    whole = Window.partitionBy("of", "block", "epoch")
+    order = whole.orderBy(F.xxhash64(F.lit(seed), F.col("epoch").cast("bigint"), F.col("key")), "key", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
+    placed = every.withColumns({"position": F.row_number().over(order), "taken": _in_part(F.col("n_tokens"), F.col("epochs"), order, whole)})
+    return placed.where((F.col("epoch") <= F.col("epochs")) | F.col("taken")).select("doc_id", "source", "n_tokens", "epoch", "block", "position")

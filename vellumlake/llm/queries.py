@@ -9,15 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumlake.llm import chat_format, language_id, mixing, mpeg_audio, near_dedup, pii, quality_classifier, quality_rules, sentencepiece_bpe, toxicity
-from vellumlake.llm.common import table
+from vellumlake.llm.common import stored, table
 
 PIECES = os.environ.get("VELLUMLAKE_PIECE_MODEL") or public_tokenizers.path("piece_bpe_32k.model")
 TARGET_ENTROPY, MAX_REPETITION = 0.95, 2.0
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return mixing.assignments(docs, mixing.plan(docs, TARGET_ENTROPY, MAX_REPETITION))
+    rows = stored(mixing.narrow(table(spark, sf_dir, "documents")), "narrow")
+    return mixing.assignments(rows, mixing.plan(rows, TARGET_ENTROPY, MAX_REPETITION, tokens=F.col("n_tokens")))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
