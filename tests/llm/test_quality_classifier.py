@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
+from vellumlake.llm import common, queries
 from vellumlake.llm import quality_classifier as Q
 
 
@@ -16,7 +16,11 @@ def test_on_labels(spark):
     assert sum(good) / len(good) > 0.96 and sum(bad) / len(bad) < 0.15
 
 
-def test_posterior_equals_plain_arithmetic(spark):
+@pytest.mark.parametrize("bound", [None, 0])
+def test_posterior_equals_plain_arithmetic(spark, monkeypatch, bound):
+    if bound == 0:
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+        monkeypatch.setattr(common, "HOT_ROWS", 17)
     rng = np.random.default_rng(0)
     rows = [(i, f"h{i % 4}", f"p{i % 3}", float(p)) for i, p in enumerate(rng.uniform(0.05, 0.95, 200))]
     df = spark.createDataFrame(rows, "i int, _host string, _path string, _p double")
@@ -47,4 +51,26 @@ def test_odd_tables(spark):
     labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], none.schema)
     assert Q.judged(docs, labels).select("x", "_kept").count() == 3
     assert Q.judged(docs.limit(0), labels).count() == 0
-    assert isinstance(F.lit(1), object)
+
+
+def test_clashing_columns_and_odd_rows_come_out(spark):
+    """Columns named as the operator's own pass; long texts, repeated rows and ids, ties."""
+    names = ["_p", "_host", "_path", "_value", "_posterior", "_kept", "_host_post", "_path_post", "_row", "_k", "_n", "_hot", "_salt", "y", "x", "odd.name"]
+    good, bad = "the house of the man is not far from here and it was good", "$$$ ### $$$ BUY 111 222 ***"
+    base = [(i, good if i % 2 else bad) for i in range(40)] + [(1, good)] * 5 + [(None, good), (100, good * 20_000), (101, None)]
+    df = spark.createDataFrame([(i, t, f"s{(i or 0) % 2}", "en", *range(16)) for i, t in base], "doc_id bigint, text string, source string, lang string, " + ", ".join(f"`{n}` int" for n in names))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 2, "doc_id bigint, quality int, toxic int")
+    out = Q.judged(df, labels)
+    assert out.columns == df.columns + ["__p", "__host_post", "__path_post", "__posterior", "__kept"]
+    got = out.collect()
+    assert len(got) == len(base) and {tuple(r)[4:20] for r in got} == {tuple(range(16))}
+    assert {r["__kept"] for r in got if r.text == good} == {True} and {r["__kept"] for r in got if r.text == bad} == {False}
+    assert len({r["__posterior"] for r in got if r.doc_id == 1}) == 1
+
+
+def test_the_query_covers_documents_and_pages(spark, sf_dir):
+    got = queries.op10_quality_classifier(spark, sf_dir).collect()
+    n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "pages")}
+    assert sum(r.kind == "document" for r in got) == n["documents"] and sum(r.kind == "page" for r in got) == n["pages"]
+    sites = {(r.host, r.path) for r in got if r.kind == "page"}
+    assert len(sites) > 20 and all(h and p.startswith("/") for h, p in sites)

@@ -10,8 +10,13 @@ The threshold best separates the labelled rows among those that keep KEEP of the
 The classifier and the threshold use at most SAMPLE labelled rows; aggregates and scores cover
 every row. Without labels of both kinds every document has probability 1 and is kept.
 
+Documents have source and language as host and path; web pages, judged along with them, those
+of their address, and their markup is left out.
+
 Defined results: null and empty texts are scored as empty; a null host or path is the host or
-path ""; equal texts of one path have equal results; columns besides those named pass through.
+path ""; equal texts of one path have equal results, so ties and repeated rows are alike; an id
+that is repeated counts once among the labelled rows; rows without an id are judged, and match
+no label; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -25,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellumlake.llm.common import map_arrow, pieces, stored, text_or_empty
+from vellumlake.llm.common import fresh, looked_up, map_arrow, pieces, stored
+from vellumlake.llm.language_id import host_of, plain
 from vellumlake.llm.quality_rules import KEEP, labelled_sample, statistics
 
 SAMPLE = 20_000  # labelled rows that fit the classifier and the threshold, at most
-FEW = 200_000  # paths that are broadcast at most; more are joined by a shuffle
 LOW, HIGH = 0.001, 0.999
 SHIFT = 3.0  # log-odds that a path may add or take at most
 
@@ -71,17 +76,22 @@ def fit_classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Classifi
     return Classifier(mean, scale, beta)
 
 
-def scored(df: DataFrame, classifier: Classifier, text_col: str = "text") -> DataFrame:
-    """df with _p, the classifier's probability of good quality; rows pass through Arrow batches unchanged."""
+def scored(df: DataFrame, classifier: Classifier, html: str | None = None) -> DataFrame:
+    """df (text and more) with _p, the classifier's probability of good quality, instead of the text; `html`: a
+    boolean column, true for texts with markup."""
     shared = df.sparkSession.sparkContext.broadcast(classifier)
-    at = df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField("_p", T.DoubleType())])
+    at, marked = df.columns.index("text"), df.columns.index(html) if html else None
+    rest = [i for i in range(len(df.columns)) if i != at]
+    schema = T.StructType([*(df.schema.fields[i] for i in rest), T.StructField("_p", T.DoubleType())])
 
     def run(whole: pa.RecordBatch):
         c = shared.value
         for batch in pieces(whole):
-            x = np.array([statistics(t or "")[1] for t in batch.column(at).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(c.prob(x))], names=[*batch.schema.names, "_p"])
+            texts = batch.column(at).to_pylist()
+            if marked is not None:
+                texts = [plain(t) if h and t else t for t, h in zip(texts, batch.column(marked).to_pylist())]
+            x = np.array([statistics(t or "")[1] for t in texts], float)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(c.prob(x))], names=[*(batch.schema.names[i] for i in rest), "_p"])
 
     return map_arrow(df, run, schema)
 
@@ -102,8 +112,8 @@ class Sites:
 def sites(evidence: DataFrame) -> Sites:
     """evidence: _host, _path, _p of every row. Sums by path, then by host; partial sums before each shuffle."""
     paths = stored(evidence.groupBy("_host", "_path").agg(F.sum("_p").alias("_k"), F.count("*").alias("_n"), F.sum(F.col("_p") * F.col("_p")).alias("_s")), "paths")
-    hosts = paths.groupBy("_host").agg(F.sum("_k").alias("_hk"), F.sum("_n").alias("_hn"))
-    both = stored(paths.join(hosts, "_host"), "sites")
+    hosts = stored(paths.groupBy("_host").agg(F.sum("_k").alias("_hk"), F.sum("_n").alias("_hn"), F.count("*").alias("_paths")), "hosts")
+    both = stored(looked_up(paths, hosts, ["_host"], F.col("_path"), count="_paths").drop("_paths"), "sites")
     g = both.agg(F.sum("_k").alias("k"), F.sum("_n").alias("n"), F.sum("_s").alias("s")).first()
     if not g["n"]:
         return Sites(both, 0.5, 1.0, 1.0)
@@ -125,8 +135,7 @@ def sites(evidence: DataFrame) -> Sites:
 def with_posterior(rows: DataFrame, s: Sites) -> DataFrame:
     """rows (_host, _path, _p and more) with _host_post, _path_post and _posterior; the row's own evidence is taken
     out of its site's."""
-    few = s.paths.count() <= FEW
-    out = rows.join(F.broadcast(s.paths) if few else s.paths, ["_host", "_path"], "left")
+    out = looked_up(rows, s.paths, ["_host", "_path"], F.col("_p"), count="_n")
     own = F.col("_p")
     host = (F.greatest(F.col("_hk") - own, F.lit(0.0)) + s.host_strength * s.mu) / (F.col("_hn") - 1 + s.host_strength)
     out = out.withColumn("_host_post", F.coalesce(host, F.lit(s.mu)))
@@ -149,29 +158,45 @@ def threshold(p: np.ndarray, y: np.ndarray, keep: float = KEEP) -> float:
     return float(cuts[best[len(best) // 2]])
 
 
-def judged(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", sample: int = SAMPLE) -> DataFrame:
-    """docs with _p, _host_post, _path_post, _posterior and _kept. Two passes over the texts; no text is shuffled."""
-    key = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    rows = docs.withColumns({"_host": key(host_col), "_path": key(path_col)})
-    known = labelled_sample(docs, labels, "quality", sample).select("doc_id", "text", "_value")
-    places = rows.select(F.col("doc_id").alias("_id"), "_host", "_path")
+def _key(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit(""))
+
+
+def places(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """kind, doc_id, page_id, host, path, text, html of documents and pages: of an address, the host and the first
+    part of its path."""
+    null = F.lit(None).cast("bigint")
+    d = docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("bigint").alias("doc_id"), null.alias("page_id"), F.col("source").alias("host"), F.col("lang").alias("path"), "text", F.lit(False).alias("html"))
+    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)", 1)
+    return d.unionAll(pages.select(F.lit("page"), null, F.col("page_id").cast("bigint"), host_of(F.col("url")), path, F.col("html"), F.lit(True)))
+
+
+def judged(rows: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, *, keep: list[str] | None = None, html: str | None = None) -> DataFrame:
+    """The columns `keep` of rows (by default all) with _p, _host_post, _path_post, _posterior and _kept; their names get
+    more underscores where rows has them. rows need doc_id and text. Statistics of a text are made once, and what is
+    kept of a row is written with them; no text is shuffled."""
+    keep = rows.columns if keep is None else keep
+    names = fresh(rows.columns, "p", "host_post", "path_post", "posterior", "kept")
+    out = lambda df, values: df.select("_row.*", *(v.alias(n) for n, v in zip(names, values)))
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row")
+    inner = rows.select(kept, "text", _key(F.col(f"`{host}`")).alias("_host"), _key(F.col(f"`{path}`")).alias("_path"), *([F.col(f"`{html}`").alias("_html")] if html else []))
+    known = labelled_sample(rows.select("doc_id", "text", _key(F.col(f"`{host}`")).alias("_host"), _key(F.col(f"`{path}`")).alias("_path")), labels, "quality", sample, ("_host", "_path"))
 
     def features(whole: pa.RecordBatch):
         for batch in pieces(whole):
-            got = [statistics(t or "")[1] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.list_(pa.float64()))], names=["_id", "y", "x"])
+            got = [statistics(t or "")[1] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got, pa.list_(pa.float64()))], names=["_host", "_path", "y", "x"])
 
-    train = stored(map_arrow(known, features, f"_id {docs.schema['doc_id'].dataType.simpleString()}, y int, x array<double>"), "train")  # at most `sample` rows
-    got = train.toPandas()
+    got = map_arrow(known.select("text", "_host", "_path", "_value"), features, "_host string, _path string, y int, x array<double>").toPandas()  # at most `sample` rows
     if not len(got) or got.y.nunique() < 2:
         one = F.lit(1.0)
-        return rows.withColumns({"_p": one, "_host_post": one, "_path_post": one, "_posterior": one, "_kept": F.lit(True)}).drop("_host", "_path")
-    classifier = fit_classifier(np.array(got.x.tolist(), float), got.y.to_numpy())
-    all_scored = scored(rows, classifier)
-    s = sites(scored(rows.select("text", "_host", "_path"), classifier).select("_host", "_path", "_p"))
-    p = classifier.prob(np.array(got.x.tolist(), float))
-    spark = docs.sparkSession
-    few = spark.createDataFrame(list(zip(got._id.tolist(), got.y.tolist(), p.tolist())), "_id bigint, y int, _p double")
-    check = with_posterior(places.join(F.broadcast(few), "_id"), s).select("y", "_posterior").toPandas()
+        return out(inner, (one, one, one, one, F.lit(True)))
+    x = np.array(got.x.tolist(), float)
+    classifier = fit_classifier(x, got.y.to_numpy())
+    every = stored(scored(inner, classifier, "_html" if html else None), "scored")
+    s = sites(every.select("_host", "_path", "_p"))
+    few = rows.sparkSession.createDataFrame(list(zip(got._host, got._path, got.y.tolist(), classifier.prob(x).tolist())), "_host string, _path string, y int, _p double")
+    check = with_posterior(few, s).select("y", "_posterior").toPandas()
     cut = threshold(check._posterior.to_numpy(), check.y.to_numpy())
-    return with_posterior(all_scored, s).withColumn("_kept", F.col("_posterior") >= cut).drop("_host", "_path")
+    done = with_posterior(every, s)
+    return out(done, (*(F.col(c) for c in ("_p", "_host_post", "_path_post", "_posterior")), F.col("_posterior") >= cut))

@@ -7,7 +7,9 @@ good ones. Both use a bounded sample of labelled rows (SAMPLE, by a hash of the
 cover every row.
 
 Defined results: null and empty texts have no words and fail the base rules; without labelled
-rows of both kinds nothing is called an anomaly; equal texts have equal results.
+rows of both kinds nothing is called an anomaly; equal texts have equal results, so ties and
+repeated rows are alike; an id that is repeated counts once among the labelled rows; columns
+besides id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -157,12 +159,14 @@ class RuleModel:
         return self.forest.score(x) if self.forest is not None and len(x) else np.zeros(len(x))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, most: int) -> DataFrame:
-    """At most so many labelled rows (doc_id, text, value): the smallest ids by hash. The ids are few by that
-    bound, so the join broadcasts them."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, value: str, most: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """At most so many labelled rows (doc_id, text, extra columns, _value): the smallest ids by hash, one row for each,
+    the least by text and extra columns where an id is repeated. The ids are few by that bound, so the join broadcasts
+    them; of several labels of an id the greatest counts."""
     few = labels.where(F.col(value).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(value).cast("int").alias("_value"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    known = docs.select("doc_id", F.struct(text_or_empty("text").alias("text"), *extra).alias("_row")).join(F.broadcast(few), "doc_id")
+    return known.groupBy("doc_id").agg(F.min("_row").alias("_row"), F.max("_value").alias("_value")).select("doc_id", "_row.*", "_value")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:

@@ -59,9 +59,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_classifier.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = quality_classifier.places(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+    out = quality_classifier.judged(rows, table(spark, sf_dir, "labels"), "host", "path", keep=["kind", "doc_id", "page_id", "host", "path"], html="html")
     names = {"_p": "doc_score", "_host_post": "host_posterior", "_path_post": "path_posterior", "_posterior": "posterior", "_kept": "kept"}
-    return out.select("doc_id", *(F.col(a).alias(b) for a, b in names.items()))
+    return out.select("kind", "doc_id", "page_id", "host", "path", *(F.col(a).alias(b) for a, b in names.items()))
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_pii, op3_mpeg_audio, op4_quality_rules, op5_minhash, op6_language_id, op7_sentencepiece, op8_chat_format, op9_toxicity, op10_quality_classifier)}

@@ -9,7 +9,9 @@ many candidates. Both are learned from at most SAMPLE labelled rows whose crc32(
 is not 1; all rows are scored.
 
 Defined results: null and empty texts have the score of a text without hits; without labelled
-rows of both kinds the seeds alone decide; equal texts have equal scores.
+rows of both kinds the seeds alone decide; equal texts have equal scores, whatever their other
+columns; a row without an id is scored and not held out; a label of a repeated id counts for
+one of its rows; work is linear in a text's length.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from vellumlake.llm.quality_rules import labelled_sample
 SAMPLE = 12_000  # labelled rows that the lexicon and the curve are learned from, at most
 PREFIXES = (4, 5, 6, 7)  # lengths of word beginnings that may become patterns
 MOST_PATTERNS = 2_000
+MOST_CANDIDATES = 10_000  # patterns that are weighed against each other, at most: the driver holds their numbers by toxic sample row
 SEEDS = ("bastard", "clown", "disgusting", "dumb", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic", "scum", "scumbag", "stupid", "trash", "vermin", "worthless")
 SEED_WEIGHT = 3.0
 EXCEPTIONS = ("circus clown", "clown fish", "recycling trash", "stupid question", "take out the trash", "trash bag", "trash bin", "trash can")
@@ -136,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     beginnings = words.select(F.explode(F.array(*(F.when(F.length("w") > k, F.substring("w", 1, k)) for k in PREFIXES))).alias("p"), "a", "b").where("p is not null")
     patterns = words.select(F.concat(F.lit("w"), "w").alias("p"), "a", "b").unionAll(beginnings.select(F.concat(F.lit("p"), "p").alias("p"), "a", "b")).groupBy("p").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     q = n[1] / (n[0] + n[1])
-    likely = patterns.where((F.col("a") >= 4) & (F.col("a") > 4 * F.col("b"))).orderBy(F.desc("a"), "b", "p").limit(50 * MOST_PATTERNS).toPandas()
+    likely = patterns.where((F.col("a") >= 4) & (F.col("a") > 4 * F.col("b"))).orderBy(F.desc("a"), "b", "p").limit(MOST_CANDIDATES).toPandas()
     lexicon = _cover(texts, likely, q, math.log(patterns.count() + 1) + 3)
     for w in SEEDS:
         lexicon.whole.setdefault(w, SEED_WEIGHT)
@@ -149,7 +152,7 @@ def _cover(texts: DataFrame, likely: pd.DataFrame, q: float, bound: float) -> Le
     out = Lexicon()
     if not len(likely):
         return out
-    known = set(likely.p)
+    known = {p: i for i, p in enumerate(likely.p)}
 
     def listed(whole: pa.RecordBatch):
         for batch in pieces(whole):
@@ -157,12 +160,13 @@ def _cover(texts: DataFrame, likely: pd.DataFrame, q: float, bound: float) -> Le
             for text in batch.column(0).to_pylist():
                 found = set()
                 for w in set(_WORDS(fold(text))):
-                    found.update(p for p in ("w" + w, *("p" + w[:k] for k in PREFIXES if len(w) > k)) if p in known)
-                got.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.string()))], names=["p"])
+                    found.update(known[p] for p in ("w" + w, *("p" + w[:k] for k in PREFIXES if len(w) > k)) if p in known)
+                got.append(np.array(sorted(found), "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["p"])
 
-    rows = [set(r["p"]) for r in map_arrow(texts.where("y = 1").select("text"), listed, "p array<string>").collect()]
-    rows.sort(key=sorted)
+    # at most SAMPLE rows of MOST_CANDIDATES numbers of four bytes; copies were one row before
+    rows = sorted(bytes(r["p"]) for r in map_arrow(texts.where("y = 1").select("text"), listed, "p binary").collect())
+    rows = [[likely.p[i] for i in np.frombuffer(r, "<i4")] for r in rows]
     at: dict[str, set[int]] = {}
     for i, found in enumerate(rows):
         for p in found:
