@@ -147,8 +147,9 @@ def brute(rows, target, limit, seed=1):
             for epoch in range(1, math.ceil(epochs) + 1):
                 members.sort(key=lambda m: (spark_hash(struct.pack("<i", seed), epoch, m[0]), m[0]))
                 share, seen = (epochs - math.floor(epochs)) * sum(n for _, n, _ in members), 0
-                for position, (_, n, i) in enumerate(members, 1):
-                    seen += n
+                for position, (key, n, i) in enumerate(members, 1):
+                    # equal rows go together, by the last of them
+                    seen = sum(m[1] for m in members[: position + sum(m[0] == key for m in members[position:])])
                     if epoch <= epochs or seen - n / 2 < share:
                         out[i, s, n, epoch, b, position] += 1
     return out

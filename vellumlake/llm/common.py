@@ -19,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 BATCH_ROWS = 2000  # rows of an Arrow batch at most: texts are long, and both sides hold a batch
-BROADCAST_BYTES = 16 << 20  # measured bytes of a table that is broadcast whole, at most
+BROADCAST_BYTES = 4 << 20  # measured bytes of a table that is broadcast whole, at most
 HOT_ROWS, HOT_KEYS = 1_000, 1_000  # a key is hot beyond so many rows and beyond that share of all: so many keys at most
 
 

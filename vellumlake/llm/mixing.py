@@ -15,7 +15,8 @@ grow more unequal than the shares.
 
 Defined results: null texts have no tokens; a null source counts as source ""; blocks and
 permutations go by a hash of id and text, so rows without an id and rows that share one are
-dealt like others, and rows equal in both are placed as one another's copies; with one source
+dealt like others, and rows equal in both are copies of one another, which the broken epoch
+takes or leaves together; with one source
 or none the weights are the shares; an empty table has an empty plan; other columns, whatever
 their names, pass through unchanged.
 """
@@ -133,21 +134,34 @@ def _placed(rows: DataFrame, mix: Mix, seed: int, source: str, key: Column, name
 
 
 def _in_part(n: Column, epochs: Column, order: Window, whole: Window) -> Column:
-    """Whether the broken epoch takes a row: its middle lies in the block's share of the budget."""
+    """Whether the broken epoch takes a row: its middle lies in the block's share of the budget. order: a range, so
+    that equal rows are taken together."""
     share = (epochs - F.floor(epochs)) * F.sum(n).over(whole)
     return F.sum(n).over(order) - n / 2 < share
 
 
-def mixed(docs: DataFrame, mix: Mix, seed: int = 1) -> DataFrame:
-    """docs, each row as often as the plan gives it; columns and texts unchanged."""
-    source, n, key, times, copy, *names = fresh(docs.columns, "source", "n", "key", "times", "copy", "epochs", "blocks", "block")
-    rows = docs.withColumns({source: F.coalesce("source", F.lit("")), n: n_tokens("text"), key: _key()})
-    rows = _placed(rows, mix, seed, source, F.col(key), names)
-    epochs, _, block = names
-    whole = Window.partitionBy(source, block)
-    order = whole.orderBy(F.xxhash64(F.lit(seed), F.floor(epochs) + 1, F.col(key)), key, n).rowsBetween(Window.unboundedPreceding, 0)
-    often = F.floor(epochs).cast("int") + _in_part(F.col(n), F.col(epochs), order, whole).cast("int")
-    return rows.withColumn(times, often).where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
+def _rank(seed: int, epoch: Column, key: Column) -> Column:
+    return F.xxhash64(F.lit(seed), epoch.cast("bigint"), key)
+
+
+def mixed(docs: DataFrame, mix: Mix, seed: int = 1, rows: DataFrame | None = None) -> DataFrame:
+    """docs, each row as often as the plan gives it; columns and texts unchanged. rows: narrow(docs), where it is
+    stored. The permutations are made of these alone: of each block they give the last place that the broken epoch
+    takes, by which each document knows its share. Texts are shuffled only if the blocks' places exceed a broadcast."""
+    few = narrow(docs) if rows is None else rows
+    few = _placed(few.select("n_tokens", "key", F.coalesce("source", F.lit("")).alias("of")), mix, seed, "of", F.col("key"), ["epochs", "blocks", "block"])
+    few = few.where(F.col("epochs") > F.floor("epochs")).withColumn("rank", _rank(seed, F.floor("epochs") + 1, F.col("key")))
+    whole = Window.partitionBy("of", "block")
+    order = whole.orderBy("rank", "key").rangeBetween(Window.unboundedPreceding, 0)
+    taken = few.withColumns({"taken": _in_part(F.col("n_tokens"), F.col("epochs"), order, whole), "docs": F.lit(1)})
+    last = stored(taken.groupBy("of", "block").agg(F.max(F.when(F.col("taken"), F.struct("rank", "key"))).alias("last"), F.count("*").alias("docs")), "last")
+
+    source, key, times, copy, epochs, blocks, block, size, upto = fresh(docs.columns, "source", "key", "times", "copy", "epochs", "blocks", "block", "size", "upto")
+    placed = _placed(docs.withColumns({source: F.coalesce("source", F.lit("")), key: _key()}), mix, seed, source, F.col(key), [epochs, blocks, block])
+    placed = looked_up(placed, last.toDF(source, block, upto, size), [source, block], F.col(key), count=size)
+    here = F.struct(_rank(seed, F.floor(epochs) + 1, F.col(key)).alias("rank"), F.col(key).alias("key"))
+    often = F.floor(epochs).cast("int") + F.coalesce(here <= F.col(upto), F.lit(False)).cast("int")
+    return placed.withColumn(times, often).where(F.col(times) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def assignments(rows: DataFrame, mix: Mix, seed: int = 1) -> DataFrame:
@@ -155,7 +169,9 @@ def assignments(rows: DataFrame, mix: Mix, seed: int = 1) -> DataFrame:
     permutation of that epoch. Reading epoch by epoch, blocks in any order, gives the mixed stream."""
     named = rows.select("doc_id", "source", "n_tokens", "key", F.coalesce("source", F.lit("")).alias("of"))
     every = _placed(named, mix, seed, "of", F.col("key"), ["epochs", "blocks", "block"]).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.ceil("epochs").cast("int"))))
+    every = every.withColumn("rank", _rank(seed, F.col("epoch"), F.col("key")))
     whole = Window.partitionBy("of", "block", "epoch")
-    order = whole.orderBy(F.xxhash64(F.lit(seed), F.col("epoch").cast("bigint"), F.col("key")), "key", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    placed = every.withColumns({"position": F.row_number().over(order), "taken": _in_part(F.col("n_tokens"), F.col("epochs"), order, whole)})
+    order = whole.orderBy("rank", "key")
+    upto = order.rangeBetween(Window.unboundedPreceding, 0)
+    placed = every.withColumns({"position": F.row_number().over(order), "taken": _in_part(F.col("n_tokens"), F.col("epochs"), upto, whole)})
     return placed.where((F.col("epoch") <= F.col("epochs")) | F.col("taken")).select("doc_id", "source", "n_tokens", "epoch", "block", "position")
