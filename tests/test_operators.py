@@ -76,6 +76,17 @@ def test_terms_beyond_the_broadcast(spark):
     assert both[0] == both[1] == [(1, "the", 2), (2, "dog", 1)]
 
 
+def test_every_term_counts_on_both_ways(spark):
+    """Terms of one and two characters, repeated, empty and quoted ones; texts repeated, empty and shorter than a term."""
+    words = ["a", "ab", "abc", "abc", "b", "", "字", "字典", "\"\\x", "zz", "cabb"]
+    texts = ["abcabc", "ab", "a", "", "字典字", "x\"\\x", "abcabc", "ccabb"]
+    want = sorted((i, w, t.count(w)) for i, t in enumerate(texts) for w in set(words) if w and w in t)
+    df, terms = spark.createDataFrame(list(enumerate(texts)), "k int, t string"), spark.createDataFrame([(w,) for w in words], "s string")
+    for most in ({}, {"most_terms": 0}, {"most_bytes": 0}):
+        assert sorted((r.k, r.s, r.n) for r in R.term_occurrences(df, terms, "t", "s", **most).collect()) == want
+    assert R.term_occurrences(df, terms.limit(0), "t", "s").count() == 0
+
+
 def test_inheritance_finds_cycles(spark):
     good = spark.createDataFrame([(1, None, 5), (2, 1, None), (3, 2, None)], "node bigint, parent bigint, v int")
     assert sorted(map(tuple, tree.inherited(good, "v").collect())) == [(1, 5, 0), (2, 5, 1), (3, 5, 2)]

@@ -159,3 +159,15 @@ def view_to_page(width: Column, height: Column, rotate: Column, x: Column, y: Co
     px = F.when(r == 90, width - y).when(r == 180, width - x).when(r == 270, y).otherwise(x)
     py = F.when(r == 90, x).when(r == 180, height - y).when(r == 270, height - x).otherwise(y)
     return F.struct(px.alias("x"), py.alias("y"))
+
+
+def curve_bounds(p0: Column, p1: Column, p2: Column, p3: Column) -> Column:
+    """low, high of one coordinate of a cubic curve: its ends and what it reaches where it turns."""
+    a, b, c = 3 * (-p0 + 3 * p1 - 3 * p2 + p3), 6 * (p0 - 2 * p1 + p2), 3 * (p1 - p0)
+    root = F.sqrt(F.greatest(b * b - 4 * a * c, F.lit(0.0)))
+    two = F.when(b * b - 4 * a * c >= 0, F.array((-b + root) / (2 * a), (-b - root) / (2 * a)))
+    one = F.when(F.abs(b) > 1e-12, F.array(-c / b))
+    turns = F.filter(F.coalesce(F.when(F.abs(a) > 1e-12, two).otherwise(one), F.array().cast("array<double>")), lambda t: (t > 0) & (t < 1))
+    at = lambda t: F.pow(1 - t, 3) * p0 + 3 * F.pow(1 - t, 2) * t * p1 + 3 * (1 - t) * t * t * p2 + t * t * t * p3
+    values = F.transform(F.concat(F.array(F.lit(0.0), F.lit(1.0)), turns), at)
+    return F.struct(F.array_min(values).alias("low"), F.array_max(values).alias("high"))

@@ -286,3 +286,11 @@ PARAGRAPH_REASONS = ("unreliable_unicode", "unsupported_font", "form_xobject_con
 
 def valid_timeout(seconds: Column) -> Column:
     return seconds.between(1, 600)
+
+
+MATH = "[=<>≤≥≈≠±×÷∑∏∫√∂]"
+
+
+def math_shaped(text: Column) -> Column:
+    """A paragraph that is a formula by its shape: a strong operator and at most two operands."""
+    return text.rlike(MATH) & (F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+")) <= 2)

@@ -52,6 +52,52 @@ def violations(df: DataFrame, order: list[str]) -> DataFrame:
     return df.orderBy(*(F.col(c).asc_nulls_first() for c in order))
 
 
+def violations_by_kind(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys, "kind").agg(F.count("*").alias("n"))
+
+
+def required_publications(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
+    """Paragraphs that have to be published: not preserved, and with a translation that differs from the source."""
+    changed = F.col("preserved").isNull() & F.col("translated").isNotNull() & (F.col("translated") != F.col("source"))
+    return paragraphs.where(changed).select(*keys).distinct()
+
+
+TOLERANCES = {"vector": 0.5, "image": 0.25}
+
+
+def component_ink(components: DataFrame, ink: DataFrame, key: str, cell: float = 16.0) -> DataFrame:
+    """key, lid, rid: each component (lid in order, kind, a box) takes the first ink (rid in trace order) of its kind
+    that lies within the kind's tolerance and that no earlier one took."""
+    a, b = spatial.renamed(components, "a_", [key, "kind"]), spatial.renamed(ink, "b_", [key, "kind"])
+    at = lambda c: F.floor(F.col(c) / cell)
+    around = F.explode(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))).alias("_d")
+    far = b.select("*", around).select("*", (at("b_left") + F.col("_d.x")).alias("_x"), (at("b_bottom") + F.col("_d.y")).alias("_y")).drop("_d")
+    near = a.withColumns({"_x": at("a_left"), "_y": at("a_bottom")}).join(far, [key, "kind", "_x", "_y"])
+    by = F.when(F.col("kind") == "image", TOLERANCES["image"]).otherwise(TOLERANCES["vector"])
+    hits = near.where(Rect.of("a_").close(Rect.of("b_"), by)).select(key, F.col("a_lid").alias("lid"), F.col("b_rid").alias("rid"))
+    return spatial.greedy_matching(hits, key, ["lid", "rid"])
+
+
+def obstacles(pairs: DataFrame, keys: list[str], most: int = 1) -> DataFrame:
+    """The obstacles (b_ident) that overlap a box most, with their rank; of equal ones the first."""
+    w = Window.partitionBy(*keys).orderBy(F.col("overlap").desc(), "b_ident")
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def detail(df: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """The first `most` rows of each key, with the true number of its rows as `total`."""
+    w = Window.partitionBy(*keys)
+    return df.withColumns({"_r": F.row_number().over(w.orderBy(*order)), "total": F.count("*").over(w)}).where(F.col("_r") <= most).drop("_r")
+
+
+def differences(a: Column, b: Column, by: float) -> Column:
+    """[index, left, right] of the numbers in which two lists differ by more than `by`; a missing one differs."""
+    n = F.greatest(F.size(a), F.size(b))
+    at = lambda x, i: F.try_element_at(x, (i + 1).cast("int"))
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("index"), at(a, i).alias("left"), at(b, i).alias("right")))
+    return F.when(n > 0, F.filter(each, lambda x: F.coalesce(F.abs(x["left"] - x["right"]) > by, F.lit(True)))).otherwise(F.array().cast("array<struct<index:int,left:double,right:double>>"))
+
+
 # --- alignment -------------------------------------------------------------------
 
 
@@ -111,13 +157,20 @@ def found_on_lines(formulas: DataFrame, lines: DataFrame, keys: list[str]) -> Da
 
 
 def neighbour_gaps(units: DataFrame, fragments: DataFrame, keys: list[str]) -> DataFrame:
-    """Per unit the least gap to the left and to the right on its line; fragments that overlap it horizontally are
-    passed over. Units meet fragments by the line they were assigned to."""
-    pairs = units.join(spatial.renamed(fragments, "f_", keys), keys)
-    apart = (F.col("f_right") <= F.col("left")) | (F.col("f_left") >= F.col("right"))
-    left = F.when(apart & (F.col("f_right") <= F.col("left")), F.col("left") - F.col("f_right"))
-    right = F.when(apart & (F.col("f_left") >= F.col("right")), F.col("f_left") - F.col("right"))
-    return pairs.groupBy(*keys, "unit").agg(F.min(left).alias("gap_left"), F.min(right).alias("gap_right"))
+    """Per unit the least gap to the left and to the right among the fragments of its keys (a page, or a line of it);
+    fragments that overlap it horizontally are passed over. Both are sorted by their edges, and each unit takes the
+    fragment before it, so no pairs are made. Units without any fragment have no row."""
+    def nearest(unit_edge: str, fragment_edge: str, down: bool) -> DataFrame:
+        u = units.select(*keys, F.col(unit_edge).alias("_at"), F.lit(1).alias("_kind"), "unit")
+        f = fragments.select(*keys, F.col(fragment_edge), F.lit(0), F.lit(None).cast(units.schema["unit"].dataType))
+        w = Window.partitionBy(*keys).orderBy(F.col("_at").desc() if down else F.col("_at"), "_kind").rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*keys)
+        seen = u.unionAll(f).withColumns({"_e": F.last(F.when(F.col("_kind") == 0, F.col("_at")), ignorenulls=True).over(w), "_any": F.min("_kind").over(whole)})
+        return seen.where("_kind = 1 and _any = 0").select(*keys, "unit", F.abs(F.col("_at") - F.col("_e")).alias("_gap"))
+
+    none = F.lit(None).cast("double")
+    sides = nearest("left", "right", False).select(*keys, "unit", F.col("_gap").alias("gap_left"), none.alias("gap_right")).unionAll(nearest("right", "left", True).select(*keys, "unit", none, "_gap"))
+    return sides.groupBy(*keys, "unit").agg(F.min("gap_left").alias("gap_left"), F.min("gap_right").alias("gap_right"))
 
 
 def holes(gaps: DataFrame, limit: Column, height: Column) -> DataFrame:

@@ -55,3 +55,11 @@ def degradation_summary(preserved: DataFrame, keys: list[str]) -> DataFrame:
 def strict_gate(df: DataFrame, degraded) -> DataFrame:
     """df, failing the job at the first row that is degraded."""
     return df.where(F.when(degraded, F.raise_error(F.lit("strict mode: degraded content")).isNull()).otherwise(True))
+
+
+def debug_view(budget: DataFrame, debug: DataFrame, keys: list[str]) -> DataFrame:
+    """What goes to the side file of a run: keys, kind, id, ordinal, n: diagnostics that were kept, events for debugging
+    only, and how many of each id were dropped."""
+    row = lambda df, kind: df.select(*keys, F.lit(kind).alias("kind"), "id", "ordinal", F.lit(1).cast("bigint").alias("n"))
+    dropped = budget.where("not kept").groupBy(*keys, "id").agg(F.count("*").alias("n")).select(*keys, F.lit("dropped").alias("kind"), "id", F.lit(None).cast("bigint").alias("ordinal"), "n")
+    return row(budget.where("kept"), "kept").unionAll(row(debug, "debug")).unionAll(dropped)

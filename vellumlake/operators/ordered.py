@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PER_ID, TOTAL = 25, 500
 BYPASS = ("scan_summary", "page_degraded", "degradation_summary")
@@ -13,19 +16,21 @@ NOT_WARNINGS = ("unicode_recovered", "translation_identity", "translation_failur
 
 def anchored_lines(df: DataFrame, keys: list[str], order: str, value: str, tolerance: float = 0.001, name: str = "line") -> DataFrame:
     """Number of the line (from 0) of each row: a new line begins where the value is more than tolerance from the
-    line's first value. The anchor depends on the fold so far, so a group's values are folded in order; a group is
-    one page's characters."""
-    row = F.struct(order, value)
-    rows = F.array_sort(F.collect_list(row))
-    zero = F.struct(F.lit(-1).alias("line"), F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<o:bigint,line:int>>").alias("out"))
+    line's first value. The anchor depends on the fold so far, so a group, one page's characters, is folded in order,
+    in one pass over an Arrow batch."""
+    fields = [*keys, order, value]
 
-    def step(acc, x):
-        new = acc["anchor"].isNull() | (F.abs(x[value] - acc["anchor"]) > tolerance)
-        line = acc["line"] + new.cast("int")
-        return F.struct(line.alias("line"), F.when(new, x[value]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["out"], F.array(F.struct(x[order].cast("bigint").alias("o"), line.alias("line")))).alias("out"))
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([order, value], kind="stable")
+        line, anchor, out = -1, None, []
+        for v in pdf[value].tolist():
+            if anchor is None or abs(v - anchor) > tolerance:
+                line, anchor = line + 1, v
+            out.append(line)
+        return pdf[[*keys, order]].assign(**{name: np.array(out, "int32")})
 
-    folded = df.groupBy(*keys).agg(F.aggregate(rows, zero, step, lambda acc: acc["out"]).alias("_out"))
-    return folded.select(*keys, F.explode("_out").alias("_x")).select(*keys, F.col("_x.o").alias(order), F.col("_x.line").alias(name))
+    schema = T.StructType([df.schema[c] for c in (*keys, order)] + [T.StructField(name, T.IntegerType())])
+    return df.select(*fields).groupBy(*keys).applyInPandas(fold, schema)
 
 
 def islands(df: DataFrame, keys: list[str], order: str, same: Column, name: str = "island") -> DataFrame:
@@ -44,14 +49,14 @@ def detections(df: DataFrame, keys: list[str], query: str, score: str, ordinal:
 
 def budgeted(df: DataFrame, keys: list[str], ident: str, ordinal: str, per_id: int = PER_ID, total: int = TOTAL, bypass: tuple = BYPASS) -> DataFrame:
     """df with `kept`: ordinary diagnostics up to per_id of an id and total over ids, in order; bypassing ids always.
-    The first rank is per id; only what passes it, at most per_id rows an id, is ranked over ids."""
+    Ranks are limits of their windows, so each task drops what can't be kept before rows are dealt by id; what is
+    ranked over ids are at most per_id rows an id."""
     free = F.col(ident).isin(*bypass)
     by_id = Window.partitionBy(*keys, ident).orderBy(ordinal)
-    ranked = df.withColumn("_r", F.when(~free, F.row_number().over(by_id)))
-    passing = ranked.where(~free & (F.col("_r") <= per_id))
+    passing = df.where(~free).select(*keys, ident, ordinal).withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= per_id)
     over = Window.partitionBy(*keys).orderBy(ordinal)
     kept = passing.withColumn("_t", F.row_number().over(over)).where(F.col("_t") <= total).select(*keys, ordinal, F.lit(True).alias("_k"))
-    return ranked.join(kept, [*keys, ordinal], "left").withColumn("kept", free | F.coalesce("_k", F.lit(False))).drop("_r", "_k")
+    return df.join(kept, [*keys, ordinal], "left").withColumn("kept", free | F.coalesce("_k", F.lit(False))).drop("_k")
 
 
 def warning_count(budget: DataFrame, keys: list[str], ident: str) -> DataFrame:
@@ -114,3 +119,33 @@ def retry_schedule(attempts: Column, base_ms: int = 250, most: int = 3) -> Colum
 def interleaved(df: DataFrame, page: str = "page_index") -> DataFrame:
     """Each page twice: the source at 2 i, the translation at 2 i + 1."""
     return df.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("output_page", 2 * F.col(page) + F.col("side"))
+
+
+def split_evidence(lines: DataFrame, keys: list[str], order: str = "line") -> DataFrame:
+    """Lines with `splits`: whether a paragraph begins there: indented by more than 1.2 of its size against the group's
+    left edge, after a line of at most 0.8 of the group's width."""
+    w, whole = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
+    edge, width = F.min("left").over(whole), F.max("right").over(whole) - F.min("left").over(whole)
+    short = F.lag(F.col("right") - F.col("left")).over(w) <= 0.8 * width
+    return lines.withColumn("splits", F.coalesce((F.col("left") - edge > 1.2 * F.col("size")) & short, F.lit(False)))
+
+
+def column_order(boxes: DataFrame, keys: list[str], middle: Column, ident: str) -> DataFrame:
+    """Boxes with reading_order from 0: the left column from top to bottom, then the right one."""
+    side = ((F.col("left") + F.col("right")) / 2 >= middle).cast("int")
+    w = Window.partitionBy(*keys).orderBy(side, F.col("top").desc(), "left", ident)
+    return boxes.withColumn("reading_order", F.row_number().over(w) - 1)
+
+
+def page_labels(pages: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
+    """Labels of a bilingual output: of each page (page from 0) the rule (start, style, prefix, first) that holds there,
+    the last that begins at or before it, twice, for pages 2 i and 2 i + 1; numbers count on from the rule's first
+    (1 where it has none) and styles without numbers have none. A page before the first rule fails the job."""
+    r = rules.select(*keys, F.col("start").alias("page"), F.lit(0).alias("_kind"), F.struct("start", "style", "prefix", "first").alias("_r"))
+    p = pages.select(*keys, "page", F.lit(1), F.lit(None).cast(r.schema["_r"].dataType))
+    w = Window.partitionBy(*keys).orderBy("page", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    on = r.unionAll(p).withColumn("_on", F.last("_r", ignorenulls=True).over(w)).where("_kind = 1")
+    checked = F.when(F.col("_on").isNull(), F.raise_error(F.lit("no label rule for the first page")).cast("string")).otherwise(F.col("_on.prefix"))
+    number = F.when(F.col("_on.style").isNotNull(), F.coalesce("_on.first", F.lit(1)) + F.col("page") - F.col("_on.start"))
+    labels = on.select(*keys, F.col("page").alias("source_page"), F.col("_on.style").alias("style"), checked.alias("prefix"), number.cast("bigint").alias("number"))
+    return labels.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("output_page", 2 * F.col("source_page") + F.col("side")).drop("side")

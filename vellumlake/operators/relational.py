@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,19 +72,27 @@ def merged(user: DataFrame, auto: DataFrame, key: str, value: str) -> DataFrame:
     return user.withColumnRenamed(value, "_u").join(auto.withColumnRenamed(value, "_a"), key, "full_outer").select(key, F.coalesce("_u", "_a").alias(value))
 
 
-def term_occurrences(texts: DataFrame, terms: DataFrame, text: str, term: str, *, most_terms: int = 100_000) -> DataFrame:
-    """Each text with each term that it contains. Terms are counted first: a glossary of checked size is broadcast
-    as one array that each text filters, so there is neither a cross join nor a shuffle of texts; beyond it, texts
-    meet terms by their first three characters."""
+def term_occurrences(texts: DataFrame, terms: DataFrame, text: str, term: str, *, most_terms: int = 10_000, most_bytes: int = 1 << 20) -> DataFrame:
+    """Each text with each different term that it contains and how often; empty terms are in no text. Terms are measured
+    first: a glossary of checked size is one array that each text filters, so there is neither a join nor a shuffle of
+    texts. Beyond it, texts meet terms by the terms' first three characters (or all of a shorter one), as hashes and
+    grams; only texts that hold a term's beginning are joined with it."""
     from vellumlake.functions.text import occurrences
 
-    if terms.count() <= most_terms:
-        all_terms = [r[0] for r in terms.select(term).distinct().orderBy(term).collect()]
-        found = F.filter(F.array(*(F.lit(t) for t in all_terms)), lambda t: F.contains(F.col(text), t)) if all_terms else F.array().cast("array<string>")
+    words = terms.select(term).where(F.length(term) > 0).distinct()
+    size = F.least(F.length(term), F.lit(3))
+    n, n_bytes, sizes = words.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(term)), F.lit(0)), F.collect_set(size)).first()
+    if n <= most_terms and n_bytes <= most_bytes:
+        listed = json.dumps(sorted(r[0] for r in words.collect()), ensure_ascii=False)
+        # one literal, which is folded to an array once
+        found = F.filter(F.from_json(F.lit(listed), "array<string>"), lambda t: F.contains(F.col(text), t))
         return texts.withColumn(term, F.explode(found)).withColumn("n", occurrences(F.col(text), F.col(term)))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substr(F.col(text), i, F.lit(3))))
-    keyed = terms.select(term, F.substring(term, 1, 3).alias("_g")).where(F.length(term) >= 3)
-    return texts.withColumn("_g", F.explode(grams)).join(keyed, "_g").drop("_g").where(F.contains(F.col(text), F.col(term))).withColumn("n", occurrences(F.col(text), F.col(term)))
+    t = F.col(text)
+    grams = [F.when(F.length(t) >= k, F.transform(F.sequence(F.lit(1), F.length(t) - k + 1), lambda i: F.substr(t, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in sorted(sizes)]  # noqa: B023
+    met = texts.select(F.xxhash64(t).alias("_h"), F.explode(F.array_distinct(F.flatten(F.array(*grams)))).alias("_g")).distinct()
+    keyed = words.select(term, F.substr(F.col(term), F.lit(1), size).alias("_g"))
+    pairs = met.join(keyed, "_g").select("_h", term).distinct()
+    return texts.withColumn("_h", F.xxhash64(t)).join(pairs, "_h").drop("_h").where(F.contains(t, F.col(term))).withColumn("n", occurrences(t, F.col(term)))
 
 
 def code_ranges(codes: DataFrame, exact: DataFrame, ranges: DataFrame) -> DataFrame:

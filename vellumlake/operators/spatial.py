@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumlake.functions.geometry import Rect
+from vellumlake.functions.geometry import SLACK, Rect
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
@@ -42,26 +42,43 @@ def renamed(df: DataFrame, prefix: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, *(F.col(c).alias(prefix + c) for c in df.columns if c not in keys))
 
 
-def collisions(boxes: DataFrame, keys: list[str], owner: str, cell: float = 64.0) -> DataFrame:
-    """Pairs of owners (a < b) on a page any two of whose boxes overlap, once each."""
+def collisions(boxes: DataFrame, keys: list[str], owner: str, cell: float = 16.0) -> DataFrame:
+    """Pairs of owners (a < b) on a page any two of whose boxes overlap, once each. cell: about the size of a box."""
     a, b = renamed(boxes, "a_", keys), renamed(boxes, "b_", keys)
     pairs = rect_pairs(a, b, keys, cell, lambda x, y: F.col(f"a_{owner}") < F.col(f"b_{owner}"))
     return pairs.select(*keys, F.col(f"a_{owner}").alias("left_owner"), F.col(f"b_{owner}").alias("right_owner")).distinct()
 
 
-def line_neighbours(fragments: DataFrame, keys: list[str], ident: str, cell: float = 64.0) -> DataFrame:
-    """a stands directly left of b on one line: gap within [-0.01, 1.5 max height + 0.01]. Fragments meet by cells
-    of their height; pairs that share several cells count once."""
-    rows = fragments.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("bottom") / cell), F.floor(F.col("top") / cell))))
-    a, b = (renamed(rows, p, [*keys, "_cy"]) for p in ("a_", "b_"))
-    pairs = a.join(b, [*keys, "_cy"]).where((F.col(f"a_{ident}") != F.col(f"b_{ident}")) & Rect.of("a_").follows(Rect.of("b_")))
-    return pairs.select(*keys, F.col(f"a_{ident}").alias("a"), F.col(f"b_{ident}").alias("b")).distinct()
+def line_neighbours(fragments: DataFrame, keys: list[str], ident: str, cell: float = 16.0) -> DataFrame:
+    """a stands directly left of b on one line: gap within [-0.01, 1.5 max height + 0.01]. The gap that counts is that of
+    the higher one, so this one goes to every cell that its gap reaches and the other to the cell of its edge; they meet
+    in the lowest cell of the height that they share, so a pair is found once. cell: about the height of a line."""
+    rows = fragments.withColumns({"_h": F.col("top") - F.col("bottom"), "_cy": F.explode(F.sequence(F.floor(F.col("bottom") / cell), F.floor(F.col("top") / cell)))})
+    one = lambda x: F.array(F.floor(x / cell))
+    reach = 1.5 * F.greatest(F.col("_h"), F.lit(0.0)) + 2 * SLACK
+    many = lambda low, high: F.sequence(F.floor(low / cell), F.floor(high / cell))
+    right, left = F.col("right"), F.col("left")
+    a, b, found = Rect.of("a_"), Rect.of("b_"), []
+    for cells_a, cells_b, higher in ((one(right), many(left - reach, left + 2 * SLACK), F.col("b__h") >= F.col("a__h")), (many(right - 2 * SLACK, right + reach), one(left), F.col("a__h") > F.col("b__h"))):
+        x = renamed(rows.withColumn("_cx", F.explode(cells_a)), "a_", [*keys, "_cx", "_cy"])
+        y = renamed(rows.withColumn("_cx", F.explode(cells_b)), "b_", [*keys, "_cx", "_cy"])
+        home = F.floor(F.greatest("a_bottom", "b_bottom") / cell) == F.col("_cy")
+        pairs = x.join(y, [*keys, "_cx", "_cy"]).where(home & higher & (F.col(f"a_{ident}") != F.col(f"b_{ident}")) & a.follows(b))
+        found.append(pairs.select(*keys, F.col(f"a_{ident}").alias("a"), F.col(f"b_{ident}").alias("b")))
+    # fragments may share an ident; pairs are few against fragments
+    return found[0].unionAll(found[1]).distinct()
 
 
 def nearest_lower(titles: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
-    """For each title the anchor whose top is highest among those below its bottom; of equals the last by ordinal."""
-    below = titles.join(anchors.select(*keys, F.col("top").alias("anchor_top"), F.col("ord").alias("anchor_ord")), keys).where("anchor_top < bottom")
-    return below.groupBy(*keys, "title").agg(F.max(F.struct("anchor_top", "anchor_ord")).alias("_m")).select(*keys, "title", F.col("_m.anchor_top").alias("anchor_top"), F.col("_m.anchor_ord").alias("anchor_ord"))
+    """For each title the anchor whose top is highest among those below its bottom; of equals the last by ordinal. Both
+    are sorted by height once, and each title takes the anchor before it, so no pairs are made."""
+    none = F.lit(None)
+    t = titles.select(*keys, F.col("bottom").alias("_at"), F.lit(0).alias("_kind"), F.col("title"), none.cast("double").alias("anchor_top"), none.cast("bigint").alias("anchor_ord"))
+    a = anchors.select(*keys, F.col("top"), F.lit(1), none.cast(titles.schema["title"].dataType), F.col("top"), F.col("ord").cast("bigint"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_kind", "anchor_ord").rowsBetween(Window.unboundedPreceding, 0)
+    m = F.last(F.when(F.col("_kind") == 1, F.struct("anchor_top", "anchor_ord")), ignorenulls=True).over(w)
+    below = t.unionAll(a).withColumn("_m", m).where("_kind = 0 and _m is not null")
+    return below.groupBy(*keys, "title").agg(F.max("_m").alias("_m")).select(*keys, "title", "_m.anchor_top", "_m.anchor_ord")
 
 
 def nearest_same(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
@@ -89,14 +106,24 @@ def greedy_matching(candidates: DataFrame, key: str, order: list[str], left: str
     return candidates.groupBy(key).applyInPandas(match, schema)
 
 
-def rigid_deltas(source: DataFrame, target: DataFrame, unit: str, digits: int = 3) -> DataFrame:
-    """Units all of whose glyphs are found in the target at one common offset: unit, dx, dy. Glyphs meet by their
-    character, offsets are counted, and one that every glyph shares is a rigid move."""
-    pairs = source.join(target, "char").select(unit, "glyph", F.round(F.col("tx") - F.col("x"), digits).alias("dx"), F.round(F.col("ty") - F.col("y"), digits).alias("dy")).distinct()
-    n = source.groupBy(unit).agg(F.count_distinct("glyph").alias("_n"))
-    hits = pairs.groupBy(unit, "dx", "dy").agg(F.count("*").alias("_c"))
-    full = hits.join(n, unit).where("_c = _n")
-    return full.groupBy(unit).agg(F.min(F.struct((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("d"), "dx", "dy")).alias("_m")).select(unit, F.col("_m.dx").alias("dx"), F.col("_m.dy").alias("dy"))
+def rigid_deltas(source: DataFrame, target: DataFrame, unit: str, digits: int = 3, keys: list[str] = ()) -> DataFrame:
+    """Units all of whose glyphs are found in the target (of the same keys, a page) at one common offset: keys, unit, dx,
+    dy, the shortest such offset. The offsets are those of the unit's rarest character; the other glyphs look for
+    themselves at these, so common characters don't meet each other."""
+    at, scale = [*keys, unit], 10.0**digits
+    counts = target.groupBy(*keys, "char").agg(F.count("*").alias("_n"))
+    rare = source.join(counts, [*keys, "char"]).groupBy(*at).agg(F.min(F.struct("_n", "glyph", "char", "x", "y")).alias("_g")).select(*at, "_g.char", "_g.x", "_g.y")
+    offset = lambda t, s: F.round(t - s, digits)
+    tries = rare.join(target, [*keys, "char"]).select(*at, offset(F.col("tx"), F.col("x")).alias("dx"), offset(F.col("ty"), F.col("y")).alias("dy")).distinct()
+    cell = lambda c: F.floor(c * scale)
+    around = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("_d")
+    wanted = tries.join(source, at).select("*", around).select("*", (cell(F.col("x") + F.col("dx")) + F.col("_d.a")).alias("_cx"), (cell(F.col("y") + F.col("dy")) + F.col("_d.b")).alias("_cy"))
+    there = target.select(*keys, "char", "tx", "ty", cell(F.col("tx")).alias("_cx"), cell(F.col("ty")).alias("_cy"))
+    hits = wanted.join(there, [*keys, "char", "_cx", "_cy"]).where((offset(F.col("tx"), F.col("x")) == F.col("dx")) & (offset(F.col("ty"), F.col("y")) == F.col("dy")))
+    hits = hits.groupBy(*at, "dx", "dy").agg(F.count_distinct("glyph").alias("_c"))
+    n = source.groupBy(*at).agg(F.count_distinct("glyph").alias("_n"))
+    full = hits.join(n, at).where("_c = _n")
+    return full.groupBy(*at).agg(F.min(F.struct((F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")).alias("d"), "dx", "dy")).alias("_m")).select(*at, F.col("_m.dx").alias("dx"), F.col("_m.dy").alias("dy"))
 
 
 def arbitrated(chars: DataFrame, regions: DataFrame, keys: list[str], cell: float = 64.0) -> DataFrame:

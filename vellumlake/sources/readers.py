@@ -86,9 +86,29 @@ def looked_up_regions(pages_: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
-    """Protocol events with their place in the file; empty lines are skipped."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    return lines.withColumn("run", _document_id()).select("run", F.monotonically_increasing_id().alias("ordinal"), F.from_json("value", S.EVENT).alias("e")).select("run", "ordinal", "e.*")
+    """Protocol events with the number of their line in the file, from 0; empty lines are skipped, and counted. A run's
+    log is one file and read whole, as the order of its lines is what terminal checks, budgets and pairs rest on."""
+    logs = spark.read.text(path, wholetext=True).withColumn("run", _document_id())
+    lines = logs.select("run", F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "line")).where("trim(line) <> ''")
+    return lines.select("run", F.col("ordinal").cast("bigint").alias("ordinal"), F.from_json("line", S.EVENT).alias("e")).select("run", "ordinal", "e.*")
+
+
+def extracted_terms(answers: DataFrame, json: str = "value") -> DataFrame:
+    """source, target of each term in a backend's answer {"terms": [...]}, with the answer's other columns; terms
+    without a source or a target don't count, and an answer that can't be read has none."""
+    rest = [c for c in answers.columns if c != json]
+    t = answers.select(*rest, F.explode(F.from_json(json, "terms array<struct<source:string,target:string>>")["terms"]).alias("t"))
+    return t.select(*rest, "t.source", "t.target").where("trim(source) <> '' and trim(target) <> ''")
+
+
+def text_boxes(reports: DataFrame, json: str = "value") -> DataFrame:
+    """page, block, line and box (x, y downward, w, h) of a structured-text report, with the report's other columns."""
+    box = "bbox struct<x:double,y:double,w:double,h:double>"
+    rest = [c for c in reports.columns if c != json]
+    d = reports.select(*rest, F.from_json(json, f"pages array<struct<blocks:array<struct<type:string,{box.replace(' ', ':', 1)},lines:array<struct<text:string,{box.replace(' ', ':', 1)}>>>>>>").alias("d"))
+    p = d.select(*rest, F.posexplode("d.pages").alias("page", "p"))
+    b = p.select(*rest, "page", F.posexplode("p.blocks").alias("block", "b")).where("coalesce(b.type, 'text') = 'text'")
+    return b.select(*rest, "page", "block", F.posexplode("b.lines").alias("line", "l")).select(*rest, "page", "block", "line", "l.text", "l.bbox.*")
 
 
 def resource_usage(spark: SparkSession, path: str) -> DataFrame:
@@ -108,10 +128,22 @@ def content_objects(reports: DataFrame, json: str = "value") -> DataFrame:
     return one.select("document", "page_index", F.explode(refs).alias("object")).withColumn("object", F.col("object").cast("bigint"))
 
 
-def json_names(df: DataFrame, json: str, names: list[str]) -> DataFrame:
-    """How often each name stands as a string value or a key in a JSON text, at any depth."""
-    hits = F.regexp_extract_all(json, F.lit('"/?(' + "|".join(names) + ')"'), F.lit(1))
-    return df.select("document", F.explode(hits).alias("name")).groupBy("document", "name").agg(F.count("*").alias("n"))
+def json_names(df: DataFrame, json: str, names: list[str], most: int = 12) -> DataFrame:
+    """How often each name stands in a JSON text as a key or a string value, with or without a leading slash, down to
+    `most` levels. The value is opened level by level, so names inside other texts don't count."""
+    items = F.array(F.struct(F.lit(None).cast("string").alias("k"), F.parse_json(json).alias("v")))
+    said = []
+
+    def below(x):
+        inner = F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+        each = F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda e: F.struct(F.lit(None).cast("string").alias("k"), e.alias("v")))
+        return F.coalesce(inner, each, F.slice(F.array(x), 1, 0))
+
+    for _ in range(most + 1):
+        said.append(F.flatten(F.transform(items, lambda x: F.array(x["k"], F.try_variant_get(x["v"], "$", "string")))))
+        items = F.flatten(F.transform(items, below))
+    words = F.transform(F.concat(*said), lambda w: F.regexp_replace(w, "^/", ""))
+    return df.select("document", F.explode(F.filter(words, lambda w: w.isin(*names))).alias("name")).groupBy("document", "name").agg(F.count("*").alias("n"))
 
 
 def xref_offsets(report: Column) -> Column:

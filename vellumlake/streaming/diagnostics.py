@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,17 +12,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vellumlake.operators.ordered import BYPASS, PER_ID, TOTAL
 
+PART = 10_000  # rows of a frame that the ranking gives out
+
 
 def per_id(stream: DataFrame, most: int = PER_ID) -> DataFrame:
     """stream: run, id, ordinal. Each row with its rank in its id so far; state is one number for each run and id."""
 
     def rank(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values("ordinal")
-        rows["rank"] = range(n + 1, n + 1 + len(rows))
-        state.update((n + len(rows),))
-        rows["within"] = (rows["rank"] <= most) | rows["id"].isin(BYPASS)
-        yield rows[["run", "id", "ordinal", "rank", "within"]]
+        # only ordinals are held, eight bytes a row, and given out in parts
+        ordinals = np.sort(np.concatenate([b["ordinal"].to_numpy("int64") for b in batches]))
+        state.update((n + len(ordinals),))
+        for i in range(0, len(ordinals), PART):
+            part = ordinals[i : i + PART]
+            ranks = np.arange(n + i + 1, n + i + 1 + len(part))
+            yield pd.DataFrame({"run": key[0], "id": key[1], "ordinal": part, "rank": ranks, "within": (ranks <= most) | (key[1] in BYPASS)})
 
     return stream.groupBy("run", "id").applyInPandasWithState(rank, "run string, id string, ordinal bigint, rank bigint, within boolean", "n bigint", "append", GroupStateTimeout.NoTimeout)
 
