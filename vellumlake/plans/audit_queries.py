@@ -29,7 +29,7 @@ def query(sql: str | None = None):
 def glyph_matching(spark, sf_dir):
     """First unmatched in trace order; tests compare it with a plain loop."""
     li = rel.table(spark, sf_dir, "lineitem")
-    base = li.select((F.col("l_orderkey") % 50).cast("int").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), (F.col("l_partkey") % 26).cast("int").alias("char"), (F.col("l_partkey") % 40 / 4).alias("x"), (F.col("l_suppkey") % 40 / 4).alias("y"))
+    base = li.select(F.floor(F.col("l_orderkey") / 64).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), (F.col("l_partkey") % 26).cast("int").alias("char"), (F.col("l_partkey") % 40 / 4).alias("x"), (F.col("l_suppkey") % 40 / 4).alias("y"))
     left = base.where("k % 2 = 0").select("page", "char", F.col("k").alias("lid"), F.col("x").alias("lx"), F.col("y").alias("ly"))
     right = base.where("k % 2 = 1").select("page", "char", F.col("k").alias("rid"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     return A.glyph_matches(left, right, "page")
@@ -74,10 +74,10 @@ def alignment_counters(spark, sf_dir):
     return A.alignment_counts(w, g, m, ["page"])
 
 
-@query("""WITH RECURSIVE c AS (SELECT DISTINCT l_orderkey % 2000 AS l, l_orderkey % 2000 + l_linenumber % 2 AS r FROM lineitem WHERE l_linenumber <= 1 + l_orderkey % 2),
+@query("""WITH RECURSIVE c AS (SELECT DISTINCT l_orderkey AS l, l_orderkey + l_linenumber % 2 AS r FROM lineitem),
  u AS (SELECT l, r FROM (SELECT *, count(*) OVER (PARTITION BY l) AS a, count(*) OVER (PARTITION BY r) AS b FROM c) WHERE a = 1 AND b = 1) SELECT l, r FROM u""")
 def unique_candidates(spark, sf_dir):
-    c = rel.table(spark, sf_dir, "lineitem").where("l_linenumber <= 1 + l_orderkey % 2").select((F.col("l_orderkey") % 2000).alias("l"), (F.col("l_orderkey") % 2000 + F.col("l_linenumber") % 2).alias("r"))
+    c = rel.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("l"), (F.col("l_orderkey") + F.col("l_linenumber") % 2).alias("r"))
     return R.mutually_unique(c, "l", "r")
 
 
@@ -173,9 +173,11 @@ def font_slot_attribution(spark, sf_dir):
     return A.font_slots(rel.table(spark, sf_dir, "customer").select("c_mktsegment", (F.col("c_nationkey") % 5).cast("int").alias("font_slot")), ["c_mktsegment"])
 
 
-@query()
+@query("""WITH g AS (SELECT l_orderkey AS unit, l_linenumber AS glyph, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2), src AS (SELECT unit, glyph, CAST(p % 100 AS DOUBLE) AS x, CAST(s % 100 AS DOUBLE) AS y FROM g),
+ h AS (SELECT unit, glyph, x + 2 + CASE WHEN unit % 3 = 0 THEN glyph ELSE 0 END - x AS dx, y + 1 - y AS dy FROM src), c AS (SELECT unit, dx, dy, count(DISTINCT glyph) AS c FROM h GROUP BY ALL), n AS (SELECT unit, count(DISTINCT glyph) AS n FROM src GROUP BY 1)
+ SELECT unit, dx, dy FROM c JOIN n USING (unit) WHERE c = n""")
 def rigid_bodies(spark, sf_dir):
-    """Units whose glyphs all moved by one offset; tests compare it with a plain search."""
+    """Units whose glyphs all moved by one offset; tests compare it with a plain search, too."""
     li = rel.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
     src = li.select(F.col("l_orderkey").alias("unit"), F.col("l_linenumber").alias("glyph"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("char"), (F.col("p") % 100).cast("double").alias("x"), (F.col("s") % 100).cast("double").alias("y"))
     dst = src.select("char", (F.col("x") + 2 + F.when(F.col("unit") % 3 == 0, F.col("glyph")).otherwise(0)).alias("tx"), (F.col("y") + 1).alias("ty"))

@@ -45,7 +45,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     left, bottom = F.col("l_partkey") % 500, F.col("l_suppkey") * 37 % 700
     return li.select(
-        (F.col("l_orderkey") % 97).cast("int").alias("page"),
+        F.floor(F.col("l_orderkey") / 64).alias("page"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("owner"),
         left.cast("double").alias("left"),
         bottom.cast("double").alias("bottom"),
@@ -54,7 +54,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-B_SQL = """b AS (SELECT CAST(l_orderkey % 97 AS INTEGER) AS page, l_orderkey * 10 + l_linenumber AS owner,
+B_SQL = """b AS (SELECT l_orderkey // 64 AS page, l_orderkey * 10 + l_linenumber AS owner,
  CAST(l_partkey % 500 AS DOUBLE) AS "left", CAST(l_suppkey * 37 % 700 AS DOUBLE) AS bottom,
  CAST(l_partkey % 500 + 5 + CAST(l_quantity AS INTEGER) % 20 AS DOUBLE) AS "right",
  CAST(l_suppkey * 37 % 700 + 4 + l_linenumber * 2 AS DOUBLE) AS top FROM lineitem)"""
@@ -65,7 +65,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.col("event_id") % 11
     return e.select(
-        (F.col("user_id") % 20).cast("int").alias("run"),
+        F.floor(F.col("user_id") / 10).cast("int").alias("run"),
         F.col("event_id").alias("ordinal"),
         F.when(k < 5, "diagnostic").when(k < 8, "translation_cache").when(k == 8, "translation_call").when(k == 9, "summary").otherwise("error").alias("event"),
         F.when(k == 0, "translation_retry").when(k == 1, "content_conservation_retry").when(k == 2, "page_degraded").when(k == 3, "section_number_gap_clamped").when(k == 4, "unicode_recovered").alias("id"),
@@ -75,7 +75,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LOG_SQL = """g AS (SELECT CAST(user_id % 20 AS INTEGER) AS run, event_id AS ordinal,
+LOG_SQL = """g AS (SELECT CAST(user_id // 10 AS INTEGER) AS run, event_id AS ordinal,
  CASE WHEN event_id % 11 < 5 THEN 'diagnostic' WHEN event_id % 11 < 8 THEN 'translation_cache' WHEN event_id % 11 = 8 THEN 'translation_call'
   WHEN event_id % 11 = 9 THEN 'summary' ELSE 'error' END AS event,
  CASE event_id % 11 WHEN 0 THEN 'translation_retry' WHEN 1 THEN 'content_conservation_retry' WHEN 2 THEN 'page_degraded'

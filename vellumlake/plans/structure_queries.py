@@ -102,7 +102,7 @@ def detection_dedupe(spark, sf_dir):
     return O.detections(d, ["user_id"], "query", "score", "event_id")
 
 
-_BUDGET_SQL = "WITH " + LOG_SQL + """, d AS (SELECT 0 AS doc, ordinal, id FROM g WHERE event = 'diagnostic'),
+_BUDGET_SQL = "WITH " + LOG_SQL + """, d AS (SELECT run AS doc, ordinal, id FROM g WHERE event = 'diagnostic'),
  r AS (SELECT *, id = 'page_degraded' AS free, row_number() OVER (PARTITION BY doc, id ORDER BY ordinal) AS n FROM d),
  q AS (SELECT *, sum(CASE WHEN NOT free AND n <= 25 THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY ordinal) AS m FROM r),
  k AS (SELECT doc, ordinal, id, free OR (n <= 25 AND m <= 60) AS kept FROM q)
@@ -110,7 +110,7 @@ _BUDGET_SQL = "WITH " + LOG_SQL + """, d AS (SELECT 0 AS doc, ordinal, id FROM g
 
 
 def _budget(spark, sf_dir):
-    d = rel.log(spark, sf_dir).where("event = 'diagnostic'").select(F.lit(0).alias("doc"), "ordinal", "id")
+    d = rel.log(spark, sf_dir).where("event = 'diagnostic'").select(F.col("run").alias("doc"), "ordinal", "id")
     return O.budgeted(d, ["doc"], "id", "ordinal", total=60)
 
 
@@ -317,9 +317,10 @@ def nearest_same_glyph(spark, sf_dir):
 @query()
 def greedy_match(spark, sf_dir):
     """Order-dependent one-to-one matching; tests compare it with a plain loop."""
-    m = spatial.band_join(_points(spark, sf_dir, "l"), _points(spark, sf_dir, "r"), [], 0.02)
+    page = lambda side: _points(spark, sf_dir, side).withColumn("page", F.floor(F.col(side + "id") / 500))
+    m = spatial.band_join(page("l"), page("r"), ["page"], 0.02)
     d = F.hypot(F.col("lx") - F.col("rx"), F.col("ly") - F.col("ry"))
-    m = m.select(F.lit(0).alias("page"), "lid", "rid", (F.col("llabel") != F.col("rlabel")).cast("int").alias("other"), d.alias("dist"))
+    m = m.select("page", "lid", "rid", (F.col("llabel") != F.col("rlabel")).cast("int").alias("other"), d.alias("dist"))
     return spatial.greedy_matching(m, "page", ["other", "dist", "lid", "rid"])
 
 
@@ -395,11 +396,11 @@ def terminal_check(spark, sf_dir):
     return E.terminal_check(rel.log(spark, sf_dir), ["run"], "ordinal")
 
 
-@query("WITH " + LOG_SQL + """, r AS (SELECT id, count(*) AS n, list(ordinal ORDER BY ordinal)[1:16] AS samples FROM g WHERE event = 'diagnostic' GROUP BY id)
- SELECT id, CAST(n AS BIGINT) AS total, samples FROM r""")
+@query("WITH " + LOG_SQL + """, r AS (SELECT run AS doc, id, count(*) AS n, list(ordinal ORDER BY ordinal)[1:16] AS samples FROM g WHERE event = 'diagnostic' GROUP BY run, id)
+ SELECT doc, id, CAST(n AS BIGINT) AS total, samples FROM r""")
 def bounded_samples(spark, sf_dir):
-    d = O.budgeted(rel.log(spark, sf_dir).where("event = 'diagnostic'").select(F.lit(0).alias("doc"), "ordinal", "id"), ["doc"], "id", "ordinal", per_id=16, total=1 << 30, bypass=())
-    return d.groupBy("id").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("kept"), F.col("ordinal")))).alias("samples"))
+    d = O.budgeted(rel.log(spark, sf_dir).where("event = 'diagnostic'").select(F.col("run").alias("doc"), "ordinal", "id"), ["doc"], "id", "ordinal", per_id=16, total=1 << 30, bypass=())
+    return d.groupBy("doc", "id").agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("kept"), F.col("ordinal")))).alias("samples"))
 
 
 # --- scores ------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from vellumlake.functions import text as X
@@ -186,12 +187,12 @@ def lint_dimension(spark, sf_dir):
     return score.lint(rel.paragraphs(spark, sf_dir).select("lang", s.alias("s")), ["lang"], "s")
 
 
-@query("WITH " + P_SQL + r""", q AS (SELECT doc_id, reading_order, regexp_replace(src, '[^(){}\[\]]', '', 'g') AS s FROM p WHERE contains(src, '(') OR contains(src, '[') OR contains(src, '{') OR contains(src, ')')),
+@query("WITH " + P_SQL + r""", q AS (SELECT doc_id, reading_order, regexp_replace(src, '[^(){}\[\]]', '', 'g') AS s FROM p WHERE contains(src, '(') OR contains(src, '[') OR contains(src, '{') OR contains(src, ')') OR contains(src, ']') OR contains(src, '}')),
  r AS (SELECT doc_id, reading_order, replace(replace(replace(s, '()', ''), '[]', ''), '{}', '') AS s FROM q),
  r2 AS (SELECT doc_id, reading_order, replace(replace(replace(s, '()', ''), '[]', ''), '{}', '') AS s FROM r)
  SELECT doc_id, reading_order, s = '' AS balanced FROM r2""")
 def delimiters_balanced(spark, sf_dir):
-    p = rel.paragraphs(spark, sf_dir).where(F.col("src").rlike(r"[(\[{)]"))
+    p = rel.paragraphs(spark, sf_dir).where(F.col("src").rlike(r"[(\[{)\]}]"))
     return p.select("doc_id", "reading_order", X.delimiters_balanced(F.col("src")).alias("balanced"))
 
 
@@ -311,11 +312,14 @@ def placeholder_validate(spark, sf_dir):
     """Violations of answers that lose, repeat or break a placeholder, by kind."""
     from vellumlake.functions import placeholders as P
 
-    @F.udf("string")
     def broken(k, text):
         request = P.encode([("text", text), ("formula", ""), ("bold", "b")])
         answer = {0: request.text + " ", 1: request.text.replace("{v1}", ""), 2: request.text + "{v1}", 3: request.text + "{v", 4: request.text.replace("</b1>", "") + " "}[k]
         return P.violation(request.tokens, answer, request.text) or "valid"
 
+    @F.pandas_udf("string")
+    def judged(k: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([broken(a, b) for a, b in zip(k, text)], dtype="object")
+
     p = rel.table(spark, sf_dir, "benchmark")
-    return p.groupBy(broken((F.col("item_id") % 5).cast("int"), F.col("text")).alias("violation")).agg(F.count("*").alias("n"))
+    return p.groupBy(judged((F.col("item_id") % 5).cast("int"), F.col("text")).alias("violation")).agg(F.count("*").alias("n"))
