@@ -125,3 +125,28 @@ def test_identity_and_glyph_names(spark):
     names = spark.createDataFrame([("A.sc",), ("f_i",), (".notdef",), ("zzz",), ("bad",)], "n string")
     table = F.create_map(F.lit("A"), F.lit("A"), F.lit("bad"), F.lit("﷐"))
     assert [r[0] for r in names.select(X.glyph_character(F.col("n"), table)).collect()] == ["A", None, None, None, None]
+
+
+def test_fake_translations_by_their_rules():
+    """Letters by their code, what stays, and pieces of at most six letters chosen by the hash of the text."""
+    from vellumlake.operators import executor as E
+
+    n = len(E.HAN_SAMPLE)
+    letters = lambda t: "".join(E.HAN_SAMPLE[ord(c) % n] for c in t)
+    assert E.conserving("ab 3.5 km, 12ms x") == letters("ab") + " 3.5 km, 12ms " + letters("x")
+    assert E.conserving("5 kmx km") == "5 " + letters("kmx") + " " + letters("km")
+    assert E.conserving("{v1}<b2>q</b2>{v0}") == "{v1}<b2>" + letters("q") + "</b2>{" + letters("v") + "0}"
+    assert E.conserving("-3e5% 模 °C 7 °C") == "-3e5% 模 °" + letters("C") + " 7 °C"
+
+    def seed(t):
+        s = 2166136261
+        for b in t.encode():
+            s = ((s ^ b) * 16777619) % 2**64
+        return s
+
+    pick = lambda t, piece, k: "".join(E.HAN_SAMPLE[(seed(t) + 7 * piece + 5 * i) % n] for i in range(k))
+    for text, parts in (("hello world", [(0, 5)]), ("a", [(0, 1)]), ("x" * 40, [(0, 6)])):
+        assert E.compressing(text) == "".join(pick(text, *p) for p in parts)
+    t = "abcd{v1} ef<b9> <bx"
+    assert E.compressing(t) == pick(t, 0, 2) + "{v1}" + pick(t, 1, 1) + "<b9>" + pick(t, 2, 1) + pick(t, 3, 1)
+    assert E.compressing("  ") == pick("  ", 0, 1) and E.compressing("{l3}") == "{l3}"

@@ -79,6 +79,47 @@ def test_content_stream():
     assert [t[1] for t in C.tokens(b"12Tf .5 -.5 <<>>")] == [12.0, "Tf", 0.5, -0.5, "<<", ">>"]
 
 
+def test_forms_are_read_where_they_are_drawn():
+    inner = C.XObject("Form", "2", b"BT /F 10 Tf 1 0 0 1 1 1 Tm (in) Tj ET", (), {}, (1, 0, 0, 1, 100, 0))
+    names = {"/Fm": inner, "/Im": C.XObject("Image", "9"), "/Odd": C.XObject("PS", "8")}
+    chars, seen = C.walk(b"BT /F 10 Tf (a) Tj ET q 2 0 0 2 0 0 cm /Fm Do Q /Im Do", names=names)
+    assert [(c[0], chr(c[1]), c[2], c[3]) for c in chars] == [(0, "a", 0.0, 0.0), (1, "i", 202.0, 2.0), (2, "n", 212.0, 2.0)]
+    assert seen == {"visible": 2, "invisible": 0, "images": 1, "complete": True}
+    for content in (b"/Nope Do", b"/Odd Do", b"Do", b"/Fm /Im Do"):
+        assert C.walk(content, names=names)[1] == {"visible": 0, "invisible": 0, "images": 0, "complete": False}
+    assert not C.walk(b"/Im Do")[1]["complete"]
+    hidden = {"/A": C.XObject("Form", "1", b"BT (x) Tj 0 Tr (y) Tj ET")}
+    assert C.walk(b"BT 3 Tr ET /A Do BT (z) Tj ET", names=hidden)[1] == {"visible": 1, "invisible": 2, "images": 0, "complete": True}
+    ring: dict = {}
+    ring["/A"] = C.XObject("Form", "1", b"BT (x) Tj ET /B Do", (), ring)
+    ring["/B"] = C.XObject("Form", "2", b"BT (y) Tj ET /A Do", (), ring)
+    assert C.walk(b"/A Do", names=ring)[1] == {"visible": 2, "invisible": 0, "images": 0, "complete": False}
+    deep: dict = {}
+    deep["/A"] = C.XObject("Form", None, b"/A Do", (), deep)
+    assert not C.walk(b"/A Do", names=deep)[1]["complete"]
+    assert not C.walk(b"/A Do", names={"/A": C.XObject("Form", "1", b"x", ("FlateDecode",))})[1]["complete"]
+
+
+def test_unreadable_streams_have_no_characters(spark):
+    df = spark.createDataFrame([("d", 0, bytearray(b"BT (a) Tj ET"), []), ("d", 1, bytearray(b"no"), ["FlateDecode"])], "document string, page_index int, data binary, filters array<string>")
+    assert [(r.page_index, r.code) for r in C.characters(df).collect()] == [(0, 97)]
+    assert sorted((r.page_index, r.visible, r.complete) for r in C.evidence(df).collect()) == [(0, 1, True), (1, 0, False)]
+
+
+def test_reports_and_names(spark, tmp_path):
+    df = spark.createDataFrame([("d", '{"a":["/Form",{"Link":1,"x":{"y":["Form","other Form"]}}],"t":"say \\"Form\\" twice"}')], "document string, j string")
+    assert sorted(map(tuple, readers.json_names(df, "j", ["Form", "Link", "Image"]).collect())) == [("d", "Form", 2), ("d", "Link", 1)]
+    bad = spark.createDataFrame([(1, "no json"), (2, '{"terms":[{"source":"a","target":"b"},{"source":"","target":"c"}]}')], "k int, value string")
+    assert [tuple(r) for r in readers.extracted_terms(bad).collect()] == [(2, "a", "b")]
+    many = "".join('{"event":"x","id":"%d"}\r\n%s' % (i, "\n" if i % 7 == 0 else "") for i in range(5000))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        got = readers.events(spark, write(tmp_path / "long.ndjson", many)).orderBy("ordinal").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.id for r in got] == [str(i) for i in range(5000)] and got[1].ordinal == 2 and got[-1].ordinal == 4999 + 715 - (4999 % 7 == 0)
+
+
 def test_cmap_and_pixmap():
     codes, spaces = C.cmap("1 begincodespacerange <00> <ff> endcodespacerange 1 beginbfchar <01> <0041> endbfchar 2 beginbfrange <02> <04> <0042> <05> <06> [<0061> <0062>] endbfrange")
     assert codes == {1: "A", 2: "B", 3: "C", 4: "D", 5: "a", 6: "b"} and spaces == [(1, 0, 255)]

@@ -15,26 +15,74 @@ from vellumlake.functions.lexer import conserved_tokens, missing_tokens
 
 SAMPLE = 16
 Backend = Callable[[str, int, str | None], str]  # request, attempt from 1, correction
-_KEEP = re.compile(r"\{[vl][0-9]+\}|</?b[0-9]+>|[+\-−]?[0-9][0-9.,]*%?(?:\s*(?:GHz|MHz|kHz|km|cm|mm|ms|Hz|KB|MB|GB|TB|px|pt|min|s|h|m|K|V|A|W)(?![A-Za-z]))?|\[[0-9, ]+\]")
-_HAN = "天地玄黄宇宙洪荒日月盈昃辰宿列张"
+# The letters that a translation is made of, the units that stay after a number, and what opens a mark.
+HAN_SAMPLE = "模型数据证论文翻译语结果保持结构程稳定缓存重试诊断排版字体"
+UNITS = (
+    "GHz", "MHz", "kHz", "dpi", "bits", "bytes", "bit", "byte", "km", "cm", "mm",
+    "ms", "Hz", "KB", "MB", "GB", "TB", "mV", "mA", "kW", "dB", "px", "pt", "°C",
+    "min", "s", "h", "m", "K", "V", "A", "W",
+    "M", "B", "thousand", "million", "billion",
+)
+_OPEN = r"<b|</b|\{v|\{l"
+_MARK = r"</?b0*[1-9][0-9]*>|\{[vl]0*[1-9][0-9]*\}"
+_KEPT = re.compile(rf"{_MARK}|[+\-−]?\d+(?:\.\d+)?(?:[eE][+\-−]?\d+)?%?")
+
+
+def _han(c: str) -> bool:
+    return "\u3400" <= c <= "\u4dbf" or "\u4e00" <= c <= "\u9fff"
 
 
 def conserving(text: str, attempt: int = 1, correction: str | None = None) -> str:
-    """A fake translation: letters become Han characters by their code, everything to be kept is kept."""
-    out, at = [], 0
-    for m in [*_KEEP.finditer(text), None]:
-        end = m.start() if m else len(text)
-        out.append("".join(_HAN[ord(c) % len(_HAN)] if c.isalpha() else c for c in text[at:end]))
-        if m:
-            out.append(m[0])
-            at = m.end()
+    """A fake translation: each letter becomes a Han letter by its code; marks, numbers, units after a number, Han and
+    everything that is no letter stay."""
+    out, at, ink = [], 0, ""  # ink: the last character before `at` that is no white space
+    while at < len(text):
+        kept = _KEPT.match(text, at)
+        piece = kept[0] if kept else None
+        if piece is None and ink and (ink.isdigit() or ink in ".%") and not text[at - 1].isalpha():
+            piece = next((u for u in UNITS if text.startswith(u, at) and not text[at + len(u) : at + len(u) + 1].isalpha()), None)
+        if piece is None:
+            c = piece = text[at]
+            out.append(HAN_SAMPLE[ord(c) % len(HAN_SAMPLE)] if c.isalpha() and not _han(c) else c)
+        else:
+            out.append(piece)
+        at += len(piece)
+        ink = piece.rstrip()[-1:] or ink
     return "".join(out)
 
 
+def _segments(text: str) -> list[tuple[bool, str]]:
+    """(whether it is a mark, text): marks, and between them pieces that end where something like a mark opens; such an
+    opening that is no mark is a piece of one character."""
+    out, at, marks, opens = [], 0, re.compile(_MARK), re.compile(_OPEN)
+    while at < len(text):
+        mark = marks.match(text, at)
+        if mark:
+            out.append((True, mark[0]))
+            at = mark.end()
+            continue
+        nxt = opens.search(text, at)
+        end = len(text) if nxt is None else max(nxt.start(), at + 1)
+        out.append((False, text[at:end]))
+        at = end
+    return out
+
+
 def compressing(text: str, attempt: int = 1, correction: str | None = None) -> str:
-    """The other fake: one Han character for each word, placeholders kept, numbers lost."""
-    kept = re.findall(r"\{[vl][0-9]+\}|</?b[0-9]+>", text)
-    return "".join(_HAN[len(w) % len(_HAN)] for w in text.split()) + "".join(kept)
+    """The other fake: of each piece between marks half as many Han letters as it has characters, one to six, chosen by a
+    hash of the whole text; marks stay, numbers are lost."""
+    seed = 2_166_136_261
+    for byte in text.encode("utf-8"):
+        seed = (seed ^ byte) * 16_777_619 % 2**64
+    letter = lambda k: HAN_SAMPLE[(seed + k) % len(HAN_SAMPLE)]
+    out, told = [], 0
+    for is_mark, piece in _segments(text):
+        if is_mark:
+            out.append(piece)
+        elif ink := len("".join(piece.split())):
+            out += [letter(7 * told + 5 * k) for k in range(min(max(ink // 2, 1), 6))]
+            told += 1
+    return "".join(out) or letter(0)
 
 
 def identity(text: str, attempt: int = 1, correction: str | None = None) -> str:

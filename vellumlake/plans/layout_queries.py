@@ -14,7 +14,7 @@ from vellumlake.operators import spatial, tree
 from vellumlake.plans import relations as rel
 from vellumlake.plans.relations import B_SQL, LOG_SQL, P_SQL, T_SQL
 from vellumlake.plans.structure_queries import _tree
-from vellumlake.sources import readers
+from vellumlake.sources import pdf_content, readers
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -183,3 +183,15 @@ def curve_bounds(spark, sf_dir):
     p = rel.table(spark, sf_dir, "part").select(k, (k % 7).cast("double").alias("p0"), (k % 11 * 3).cast("double").alias("p1"), (-(k % 5) * 4).cast("double").alias("p2"), (k % 13).cast("double").alias("p3"))
     b = G.curve_bounds(*(F.col(f"p{i}") for i in range(4)))
     return p.select("p_partkey", b.alias("b")).select("p_partkey", round6(F.col("b.low")).alias("low"), round6(F.col("b.high")).alias("high"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS visible, CASE p_partkey % 6 WHEN 1 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS invisible, p_partkey % 6 = 2 AS image, p_partkey % 6 NOT IN (3, 4) AS complete FROM part""")
+def page_evidence(spark, sf_dir):
+    """Pages of text, of a form that calls a form, of an image, of a form that draws itself, of an unknown name, and of
+    hidden text in a form that has the caller's names and render mode."""
+    k = F.col("p_partkey") % 6
+    data = F.when(k == 0, F.concat(F.lit("BT ("), "p_name", F.lit(") Tj ET"))).when(k == 1, "BT (a) Tj ET /Fm0 Do").when(k == 2, "q /Im0 Do Q").when(k == 3, "/Fm2 Do").when(k == 4, "BT (a) Tj ET /None Do").otherwise("BT 3 Tr ET /Fm3 Do")
+    x = lambda owner, name, object_, subtype, stream, own: F.struct(*(F.lit(v).alias(n) for n, v in zip(("owner", "name", "object", "subtype"), (owner, name, object_, subtype))), F.lit(stream).cast("binary").alias("data"), F.array().cast("array<string>").alias("filters"), F.lit(own).alias("own"))
+    known = (x("", "/Im0", "1", "Image", "", False), x("", "/Fm0", "2", "Form", "/In Do BT 3 Tr (h) Tj ET", True), x("2", "/In", "3", "Form", "BT (v) Tj ET", True), x("", "/Fm2", "4", "Form", "/Fm2 Do", False), x("", "/Fm3", "5", "Form", "BT (h) Tj ET", False))
+    p = rel.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("document"), F.lit(0).alias("page_index"), data.cast("binary").alias("data"), F.array().cast("array<string>").alias("filters"), F.array(*known).alias("xobjects"))
+    return pdf_content.evidence(p).select(F.col("document").cast("bigint").alias("p_partkey"), "visible", "invisible", "image", "complete")

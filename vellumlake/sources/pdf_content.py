@@ -6,9 +6,11 @@ import binascii
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 MOST_BYTES = 16 << 20
 MOST_NESTING = 128
@@ -105,11 +107,28 @@ def _times(m, n):
 _UNIT = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-def walk(data: bytes, advance: float = 0.5) -> tuple[list[tuple], dict]:
+MOST_FORMS = 64  # forms inside forms
+
+
+@dataclass(frozen=True)
+class XObject:
+    """What a content stream may draw by name. names: a form's own resources; None: those of its caller."""
+
+    subtype: str
+    ident: str | None = None
+    data: bytes = b""
+    filters: tuple[str, ...] = ()
+    names: dict[str, XObject] | None = None
+    matrix: tuple[float, ...] = _UNIT
+
+
+def walk(data: bytes, advance: float = 0.5, names: dict[str, XObject] | None = None, *, mode: int = 0, ctm: tuple = _UNIT, active: tuple[str | None, ...] = ()) -> tuple[list[tuple], dict]:
     """Characters (pos, byte code, x, y, size, render mode) in drawing order with what the page shows: counts of visible
-    and invisible text shows, images, and whether q/Q and BT/ET were balanced. Every byte advances by `advance` em."""
+    and invisible text shows, images, and whether reading was complete: q/Q and BT/ET balanced, each drawn object known
+    by its name. Forms are read where they are drawn, in the caller's render mode; one that draws itself, or more than
+    MOST_FORMS inside each other, are left out as incomplete. Every byte advances by `advance` em."""
     stack, args, out = [], [], []
-    state = {"ctm": _UNIT, "size": 0.0, "mode": 0, "lead": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "rise": 0.0}
+    state = {"ctm": ctm, "size": 0.0, "mode": mode, "lead": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "rise": 0.0}
     tm = line = _UNIT
     seen = {"visible": 0, "invisible": 0, "images": 0, "complete": True}
     inside = False
@@ -123,6 +142,24 @@ def walk(data: bytes, advance: float = 0.5) -> tuple[list[tuple], dict]:
             step = (advance * state["size"] + state["char"] + (state["word"] if b == 32 else 0)) * state["scale"]
             tm = _times((1, 0, 0, 1, step, 0), tm)
 
+    def draw(x: XObject | None) -> None:
+        if x is not None and x.subtype == "Image":
+            seen["images"] += 1
+            return
+        if x is None or x.subtype != "Form" or len(active) >= MOST_FORMS or (x.ident is not None and x.ident in active):
+            seen["complete"] = False
+            return
+        try:
+            inner, said = walk(decode(x.data, list(x.filters)), advance, names if x.names is None else x.names, mode=state["mode"], ctm=_times(x.matrix, state["ctm"]), active=(*active, x.ident))
+        except BadStream:
+            seen["complete"] = False
+            return
+        at = len(out)
+        out.extend((at + i, *c[1:]) for i, c in enumerate(inner))
+        for key in ("visible", "invisible", "images"):
+            seen[key] += said[key]
+        seen["complete"] &= said["complete"]
+
     for kind, value, _, _ in tokens(data):
         if kind == "image":
             seen["images"] += 1
@@ -167,42 +204,60 @@ def walk(data: bytes, advance: float = 0.5) -> tuple[list[tuple], dict]:
                 elif isinstance(a, float):
                     tm = _times((1, 0, 0, 1, -a / 1000 * state["size"] * state["scale"], 0), tm)
         elif value == "Do":
-            seen["images"] += 1
+            draw((names or {}).get(args[0]) if len(args) == 1 and isinstance(args[0], str) else None)
         args = []
     seen["complete"] &= not stack and not inside
     return out, seen
 
 
-def characters(streams: DataFrame) -> DataFrame:
-    """streams: document, page_index, data (binary), filters (array). One row a character."""
-    schema = "document string, page_index int, pos int, code int, x double, y double, size double, render_mode int"
+#: Of a page: who knows the object by this name ("" is the page, else a form's object), whether it has resources itself.
+XOBJECTS = "array<struct<owner:string,name:string,object:string,subtype:string,data:binary,filters:array<string>,own:boolean>>"
 
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for d, p, data, filters in zip(pdf.document, pdf.page_index, pdf.data, pdf.filters):
-                rows += [(d, p, *c) for c in walk(decode(bytes(data), list(filters)))[0]]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return streams.select("document", "page_index", "data", "filters").mapInPandas(run, schema)
+def _names(rows) -> dict[str, XObject]:
+    """The page's names from its XOBJECTS."""
+    rows = [] if rows is None else [r if isinstance(r, dict) else r.asDict() for r in rows]
+    scopes: dict[str, dict[str, XObject]] = {"": {}, **{r["owner"]: {} for r in rows}}
+    for r in rows:
+        own = scopes.setdefault(r["object"], {}) if r["own"] else None
+        scopes[r["owner"]][r["name"]] = XObject(r["subtype"], r["object"], bytes(r["data"] or b""), tuple(r["filters"] if r["filters"] is not None else ()), own)
+    return scopes[""]
 
 
-def evidence(streams: DataFrame) -> DataFrame:
-    """What each page shows; a stream that can't be read counts as incomplete."""
-    schema = "document string, page_index int, visible int, invisible int, image boolean, complete boolean"
+def _read(streams: DataFrame, schema: str, rows_of) -> DataFrame:
+    """rows_of(walk result or None) for each stream; None: it can't be decoded."""
+    if "xobjects" not in streams.columns:
+        streams = streams.withColumn("xobjects", F.lit(None).cast(XOBJECTS))
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for d, p, data, filters in zip(pdf.document, pdf.page_index, pdf.data, pdf.filters):
+            for d, p, data, filters, objects in zip(pdf.document, pdf.page_index, pdf.data, pdf.filters, pdf.xobjects):
                 try:
-                    seen = walk(decode(bytes(data), list(filters)))[1]
+                    got = walk(decode(bytes(data), list(filters)), names=_names(objects))
                 except BadStream:
-                    seen = {"visible": 0, "invisible": 0, "images": 0, "complete": False}
-                rows.append((d, p, seen["visible"], seen["invisible"], seen["images"] > 0, bool(seen["complete"])))
+                    got = None
+                rows += [(d, p, *r) for r in rows_of(got)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return streams.select("document", "page_index", "data", "filters").mapInPandas(run, schema)
+    return streams.select("document", "page_index", "data", "filters", "xobjects").mapInPandas(run, schema)
+
+
+def characters(streams: DataFrame) -> DataFrame:
+    """streams: document, page_index, data (binary), filters (array) and, if there are any, xobjects. One row a
+    character, those of forms included; a stream that can't be decoded has none."""
+    return _read(streams, "document string, page_index int, pos int, code int, x double, y double, size double, render_mode int", lambda got: got[0] if got else [])
+
+
+def evidence(streams: DataFrame) -> DataFrame:
+    """What each page shows; a stream that can't be read counts as incomplete."""
+    none = {"visible": 0, "invisible": 0, "images": 0, "complete": False}
+
+    def one(got):
+        seen = got[1] if got else none
+        return [(seen["visible"], seen["invisible"], seen["images"] > 0, bool(seen["complete"]))]
+
+    return _read(streams, "document string, page_index int, visible int, invisible int, image boolean, complete boolean", one)
 
 
 def cmap(text: str) -> tuple[dict[int, str], list[tuple[int, int, int]]]:
