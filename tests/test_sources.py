@@ -97,7 +97,7 @@ def test_forms_are_read_where_they_are_drawn():
     deep: dict = {}
     deep["/A"] = C.XObject("Form", None, b"/A Do", (), deep)
     assert not C.walk(b"/A Do", names=deep)[1]["complete"]
-    assert not C.walk(b"/A Do", names={"/A": C.XObject("Form", "1", b"x", ("FlateDecode",))})[1]["complete"]
+    assert not C.walk(b"/A Do", names={"/A": C.XObject("Form", "1", b"no", ("FlateDecode",))})[1]["complete"]
 
 
 def test_unreadable_streams_have_no_characters(spark):
