@@ -143,7 +143,7 @@ def _other(c: Column, r: Column) -> Column:
         six = code.between(0x0966, 0x0DEF) | code.between(0x1946, 0x194F)
         return F.when(code < 65536, _char(code - F.pmod(code, F.lit(16)) + F.when(six, 6).otherwise(0) + F.pmod(r, F.lit(10)))).otherwise(F.pmod(r, F.lit(10)).cast("string"))
 
-    first, last, low, up, n = (F.lit(list(x)) for x in zip(*SCRIPTS))
+    first, last, low, up, n = (F.expr(f"array({','.join(map(str, x))})") for x in zip(*SCRIPTS))
 
     def letter(code):
         upper = c.rlike(r"^\p{Lu}")
@@ -227,7 +227,7 @@ def _name(e: Column, key: Column, turn: Column) -> Column:
     depends on that name alone, so a surname alone stays recognisable."""
     title = F.regexp_extract(e, rf"^(?:{TITLES})\b\.? ", 0)
     words = F.split(F.regexp_replace(e, rf"^(?:{TITLES})\b\.? ", ""), " ")
-    lists = {g: F.array(*(F.lit(n) for n in v)) for g, v in NAMES.items()}
+    lists = {g: F.split(F.lit(" ".join(v)), " ") for g, v in NAMES.items()}
     gender = _gender(e)
     pick = F.when(gender == "f", lists["f"]).when(gender == "m", lists["m"]).otherwise(lists["n"])
 
