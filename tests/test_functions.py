@@ -100,6 +100,8 @@ def test_source_text(spark):
     df = spark.createDataFrame([([("a", False), ("b", True), (None, True), (" ", True), ("c", True)],)], "c array<struct<unicode:string,implicit_space_before:boolean>>")
     r = df.select(X.source_text(F.col("c")).alias("s"), X.plain_text(F.col("c")).alias("p")).first()
     assert (r.s, r.p) == ("a b c", "ab c")
+    first = spark.createDataFrame([([(None, True), ("a", True), ("b", None)],), ([],)], df.schema)
+    assert [r[0] for r in first.select(X.source_text(F.col("c"))).collect()] == [" ab", ""]
 
 
 def test_composite_key_tells_fields_apart(spark):

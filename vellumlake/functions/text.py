@@ -185,14 +185,18 @@ def valid_sha256(text: Column) -> Column:
 
 def source_text(chars: Column) -> Column:
     """Text of an array of (unicode, implicit_space_before): one space for an implied one, unless white space is
-    already there or comes."""
+    already there or comes. An implied space before the first character counts."""
+    known = F.filter(chars, lambda c: F.coalesce(c["unicode"] != "", F.lit(False)))
 
-    def step(out, c):
-        u = c["unicode"]
-        space = F.coalesce(c["implicit_space_before"], F.lit(False)) & (out != "") & ~out.rlike(WHITE + "$") & ~u.rlike("^" + WHITE)
-        return F.when(u.isNull(), out).otherwise(F.concat(out, F.when(space, " ").otherwise(""), u))
+    def piece(some):
+        def one(c, i):
+            behind = F.when(i > 0, some[i - 1]["unicode"].rlike(WHITE + "$")).otherwise(F.lit(False))
+            space = F.coalesce(c["implicit_space_before"], F.lit(False)) & ~behind & ~c["unicode"].rlike("^" + WHITE)
+            return F.concat(F.when(space, " ").otherwise(""), c["unicode"])
 
-    return F.aggregate(chars, F.lit(""), step)
+        return F.array_join(F.transform(some, one), "")
+
+    return F.element_at(F.transform(F.array(known), piece), 1)
 
 
 def plain_text(chars: Column) -> Column:

@@ -128,7 +128,7 @@ def eligible_text(chars: DataFrame, keys: list[str], direct: DataFrame | None =
         rows = rows.join(known.select(*page, F.lit(True).alias("_known")).distinct(), page, "left").join(own, [*page, "content_object"], "left").where("_known is null or _own")
     rows = rows.where(F.col("unicode").isNotNull())
     w = Window.partitionBy(*keys).orderBy("pos")
-    last, space = F.lag("unicode").over(w), r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+    last, space = F.lag("unicode").over(w), X.WHITE
     implied = F.col("implicit_space_before") & ~F.coalesce(last.rlike(space + "$"), F.lit(False)) & ~F.col("unicode").rlike("^" + space)
     piece = F.concat(F.when(implied, " ").otherwise(""), F.col("unicode"))
     parts = rows.withColumn("_p", piece).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "_p"))).alias("_t"))
