@@ -185,8 +185,8 @@ def event_line_sink(spark, sf_dir):
     return sinks.event_lines(rel.table(spark, sf_dir, "customer").select(F.when(k % 2 == 0, "result").otherwise("error").alias("event"), F.when(k % 2 == 0, k).alias("pages")))
 
 
-@query("WITH " + _SCORE_SQL + """, m AS (SELECT paper // 50 AS document, dimension, round(avg(score), 6) AS score FROM d GROUP BY ALL)
+@query("WITH " + _SCORE_SQL + """, m AS (SELECT paper // 50 AS document, dimension, min(score) AS score FROM d GROUP BY ALL)
  SELECT document, '| dimension | score |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || dimension || ' | ' || printf('%.6f', score) || ' |', chr(10) ORDER BY dimension) || chr(10) AS markdown FROM m GROUP BY document""")
 def report_markdown(spark, sf_dir):
-    d = _scores(spark, sf_dir).groupBy(F.floor(F.col("paper") / 50).alias("document"), F.col("dimension").cast("string").alias("dimension")).agg(round6(F.avg("score")).alias("score"))
+    d = _scores(spark, sf_dir).groupBy(F.floor(F.col("paper") / 50).alias("document"), F.col("dimension").cast("string").alias("dimension")).agg(F.min("score").alias("score"))
     return sinks.report_markdown(d)
