@@ -123,11 +123,11 @@ def small(df: DataFrame, bound: int | None = None) -> bool:
 def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, *, count: str | None = None, how: str = "left", bound: int | None = None) -> DataFrame:
     """rows with the other columns of table, which has one row for each key; how: left or inner.
 
-    A table of checked size is broadcast. Beyond it both sides are dealt by the keys, and neither absent nor hot
+    A table of checked size is broadcast (bound=0: never, the plan is one at every size). Beyond it both sides are dealt by the keys, and neither absent nor hot
     keys meet in one task: rows with a null key and rows of hot keys take part under numbers of their own (by
     `spread`), which match nothing. The hot keys' rows of the table, at most HOT_KEYS by the column `count`, are
     broadcast instead."""
-    if small(table, bound):
+    if bound != 0 and small(table, bound):
         return rows.join(F.broadcast(table), keys, how)
     names = [c for c in table.columns if c not in keys]
     here, salt, there = fresh([*rows.columns, *table.columns], "hot", "salt", "cold")

@@ -199,7 +199,7 @@ def _apart(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     placed = stored(members.select(*fields).join(roots.withColumnRenamed("node", "id"), "id", "left").select(*fields, F.coalesce("root", "id").alias("root")), "placed")
     shares = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("m")).where("k > 1").select("key", "m", F.col("top.root").alias("main"))
     shares = stored(shares, "shares")
-    out = looked_up(placed, shares, ["key"], F.col("id"), count="m", how="inner").select(*fields, "m", "root", (F.col("root") == F.col("main")).alias("is_main"))
+    out = looked_up(placed, shares, ["key"], F.col("id"), count="m", how="inner", bound=0).select(*fields, "m", "root", (F.col("root") == F.col("main")).alias("is_main"))
     out = stored(out if "bits" in fields else out.join(sets.select("id", "bits"), "id"), "apart")
     discard(placed)
     discard(shares)
@@ -210,7 +210,7 @@ def _new_stars(apart: DataFrame, turn: int, similarity: int) -> DataFrame:
     """Two more stars in each bucket: around a member of its largest component and around one of the others."""
     member = F.struct(F.xxhash64("key", "id", F.lit(turn)).alias("h"), "id", "n", "root", "bits")
     centres = stored(apart.groupBy("key").agg(F.min(F.when(F.col("is_main"), member)).alias("c"), F.min(F.when(~F.col("is_main"), member)).alias("d"), F.max("m").alias("size")), "centres")
-    spokes = looked_up(apart.select("key", F.struct("id", "n", "root", "bits").alias("x")), centres, ["key"], F.col("x.id"), count="size", how="inner")
+    spokes = looked_up(apart.select("key", F.struct("id", "n", "root", "bits").alias("x")), centres, ["key"], F.col("x.id"), count="size", how="inner", bound=0)
     here = lambda c: F.col("x." + c)
 
     def star(centre: str) -> DataFrame:
@@ -228,12 +228,12 @@ def _refined(apart: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     elements = stored(members.select("id").join(sets.select("id", "h"), "id").select("id", F.explode("h").alias("e")), "elements")
     counts = stored(elements.groupBy("e").agg(F.count("*").alias("m")).where("m > 1"), "counts")
     rare_first = F.array_sort(F.collect_list(F.struct(F.coalesce("m", F.lit(1)).alias("m"), "e")))
-    ranked = looked_up(elements, counts, ["e"], F.col("id"), count="m").groupBy("id").agg(rare_first.alias("s"))
+    ranked = looked_up(elements, counts, ["e"], F.col("id"), count="m", bound=0).groupBy("id").agg(rare_first.alias("s"))
     n = F.size("s")
     first = F.slice("s", F.lit(1), n - F.floor((similarity * n + 99) / 100).cast("int") + 1)
     met = ranked.select("id", F.explode(F.filter(first, lambda x: x["m"] > 1)).alias("x")).select("id", F.col("x.e").alias("key"))
     sizes = stored(met.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-    return looked_up(met, sizes, ["key"], F.col("id"), count="m", how="inner").join(members, "id").select("key", "id", "n", "root", "bits", "m")
+    return looked_up(met, sizes, ["key"], F.col("id"), count="m", how="inner", bound=0).join(members, "id").select("key", "id", "n", "root", "bits", "m")
 
 
 def _rest_pairs(apart: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -303,7 +303,7 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     spread = classes.where("id is not null").select("id", "n", F.explode("keys").alias("key"))
     stars = spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"), "m")
     stars = stored(stars, "centres")
-    buckets = stored(looked_up(spread, stars, ["key"], F.col("id"), count="m", how="inner").select("key", "id", "n", "c", "cn"), "buckets")
+    buckets = stored(looked_up(spread, stars, ["key"], F.col("id"), count="m", how="inner", bound=0).select("key", "id", "n", "c", "cn"), "buckets")
     discard(stars)
     near = lambda x, y: 100 * F.least(x, y) >= similarity * F.greatest(x, y)
     edges = stored(buckets.where("id <> c").where(near(F.col("n"), F.col("cn"))).select(F.col("id").alias("a"), F.col("c").alias("b")).distinct(), "edges")
@@ -340,6 +340,6 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         discard(t)
 
     heads = stored(classes.select("cls", "copies", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("cls", "copies", F.coalesce("root", "id").alias("component")), "heads")
-    out = looked_up(rows.select("id", "n", "cls"), heads, ["cls"], F.col("id"), count="copies")
+    out = looked_up(rows.select("id", "n", "cls"), heads, ["cls"], F.col("id"), count="copies", bound=0)
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
