@@ -4,7 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from vellumlake.functions.numeric import glyph_width
 from vellumlake.operators import audit as A
+from vellumlake.operators import events as E
 
 
 def test_glyphs_take_the_first_free_one(spark):
@@ -47,3 +49,21 @@ def test_settings(spark):
 def test_holes(spark):
     gaps = spark.createDataFrame([(1.0, 9.0), (None, 5.0)], "gap_left double, gap_right double")
     assert tuple(A.holes(gaps, F.lit(4.0), F.lit(2.0)).first()) == (2, 28.0)
+
+
+def test_progress_of_stages(spark):
+    rows = [(1, "scan", "stage_started", None, None), (1, "scan", "page_progress", 0, 2), (1, "scan", "page_progress", 1, 2), (1, "scan", "page_progress", 1, 2), (1, "scan", "stage_finished", None, None), (1, "write", "stage_started", None, None), (1, None, "result", None, None)]
+    df = spark.createDataFrame(rows, "run int, stage string, event string, page_index int, total_pages int")
+    assert sorted(tuple(r) for r in E.stage_progress(df, ["run"]).collect()) == [(1, "scan", 1, 1, 2, 2, True), (1, "write", 1, 0, 0, None, False)]
+    assert E.stage_progress(df.limit(0), ["run"]).count() == 0
+
+
+def test_length_of_the_first_array(spark):
+    rows = [(1, 0, '{"kept":3}'), (1, 1, '{"kept":[1,[2]]}'), (1, 2, '{"kept":[]}'), (2, 0, "not json"), (2, 1, None), (3, 5, '{"kept":[]}')]
+    df = spark.createDataFrame(rows, "run int, at int, value string")
+    assert sorted(tuple(r) for r in E.summary_array_length(df, ["run"], "at", "kept").collect()) == [(1, 2), (2, 0), (3, 0)]
+
+
+def test_widths_are_rounded_half_up(spark):
+    df = spark.createDataFrame([(1, 2048), (1, 3), (500, 1000), (1, 2000), (65535, 1), (5, 0), (None, 5)], "a int, u int")
+    assert [r[0] for r in df.select(glyph_width(F.col("a"), F.col("u"))).collect()] == [0, 333, 500, 1, 65535000, None, None]

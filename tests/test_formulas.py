@@ -154,3 +154,26 @@ def test_depth_limits(spark):
     ring = spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "parent bigint, child bigint")
     with pytest.raises(ValueError):
         tree.leaves(ring, spark.createDataFrame([(1,)], "node bigint"))
+
+
+def test_formulas_grow_by_digits_that_belong_to_them(spark):
+    def grown(*chars):
+        rows = [(1, i, *c) for i, c in enumerate(chars)]
+        c = spark.createDataFrame(rows, "p int, pos int, unicode string, formula boolean, policy string, size double, baseline double, left double, right double, implicit_space_before boolean")
+        return [(r.pos, r.anchor, r.evidence) for r in M.expanded(c, ["p"]).where("anchor is not null").orderBy("pos").collect()]
+
+    def char(text, at, formula=False, policy="translate", size=10.0, up=0.0, space=False):
+        return (text, formula, policy, size, 100.0 + up, 10.0 * at, 10.0 * at + 10, space)
+
+    # a script and the rest of its number; the letter after them stays
+    assert grown(char("x", 0, True), char("1", 1, size=6.0, up=3.0), char("2", 2, size=6.0, up=3.0), char("m", 3)) == [(1, 0, "script_baseline"), (2, 0, "contiguous_digit_run")]
+    # digits go on a formula's number up to a space, a gap, or what isn't translated
+    assert grown(char("4", 0, True), char("5", 1), char("6", 2, space=True)) == [(1, 0, "contiguous_digit_run")]
+    assert grown(char("4", 0, True), char("5", 2)) == []
+    assert grown(char("4", 0, True), char("5", 1, policy="passthrough"), char("6", 2)) == []
+    # no formula, no growth; full-size digits beside a letter are none of it; small ones too far off its baseline either
+    assert grown(char("4", 0), char("5", 1)) == []
+    assert grown(char("x", 0, True), char("5", 1)) == []
+    assert grown(char("x", 0, True), char("5", 1, size=6.0, up=8.0)) == []
+    # a digit whose place isn't known
+    assert grown(char("4", 0, True), ("5", False, "translate", 10.0, None, None, None, False)) == []

@@ -38,3 +38,10 @@ def dimension_score(weighted: Column, denominator: Column) -> Column:
     """100 minus the weighted findings per thousand characters, within 0 and 100."""
     rate = weighted * 1000 / denominator
     return round6(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 - rate)))
+
+
+def glyph_width(advance: Column, units_per_em: Column) -> Column:
+    """A whole advance in thousandths of an em, halves rounded up; null without an em."""
+    units = F.when(units_per_em > 0, units_per_em).cast("bigint")
+    sum_ = advance.cast("bigint") * 1000 + ((units - F.pmod(units, F.lit(2))) / 2).cast("bigint")
+    return ((sum_ - F.pmod(sum_, units)) / units).cast("bigint")

@@ -63,3 +63,22 @@ def debug_view(budget: DataFrame, debug: DataFrame, keys: list[str]) -> DataFram
     row = lambda df, kind: df.select(*keys, F.lit(kind).alias("kind"), "id", "ordinal", F.lit(1).cast("bigint").alias("n"))
     dropped = budget.where("not kept").groupBy(*keys, "id").agg(F.count("*").alias("n")).select(*keys, F.lit("dropped").alias("kind"), "id", F.lit(None).cast("bigint").alias("ordinal"), "n")
     return row(budget.where("kept"), "kept").unionAll(row(debug, "debug")).unionAll(dropped)
+
+
+def stage_progress(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Per stage of a run: how often it started and finished, the pages it reported and the greatest total it named,
+    and whether it finished with all of these pages. Partial counts go before the shuffle."""
+    e = F.col("event")
+    pages = F.count_distinct(F.when(e == "page_progress", F.col("page_index")))
+    out = events.where(e.isin("stage_started", "stage_finished", "page_progress")).groupBy(*keys, "stage").agg(
+        F.count_if(e == "stage_started").alias("started"), F.count_if(e == "stage_finished").alias("finished"), pages.alias("pages"), F.max(F.when(e == "page_progress", F.col("total_pages"))).alias("total_pages")
+    )
+    return out.withColumn("complete", (F.col("finished") > 0) & (F.col("pages") == F.coalesce("total_pages", F.lit(0))))
+
+
+def summary_array_length(lines: DataFrame, keys: list[str], ordinal: str, name: str) -> DataFrame:
+    """keys, n: the length of the array that the first event with one under `name` holds; 0 where no event has one.
+    lines: keys, ordinal and value, the event as JSON."""
+    array = F.get_json_object("value", f"$['{name}']")
+    size = F.when(array.startswith("["), F.json_array_length(array)).cast("bigint")
+    return lines.groupBy(*keys).agg(F.coalesce(F.min(F.when(size.isNotNull(), F.struct(F.col(ordinal), size.alias("n"))))["n"], F.lit(0).cast("bigint")).alias("n"))

@@ -54,6 +54,25 @@ def completeness(chars: DataFrame, translated: DataFrame, keys: list[str], by: l
     return out.withColumn("violations", F.col("unbalanced") + F.col("fragments"))
 
 
+def expanded(chars: DataFrame, keys: list[str]) -> DataFrame:
+    """chars with `anchor`, the place of the model's formula character that a translated character beside it belongs to,
+    and `evidence`, why; nulls for all others. Evidence is a digit as a script of the formula's character before it
+    (smaller, off its baseline), or a digit that goes on a run of digits without a gap. A chain holds as far as each
+    character has evidence; formulas only grow, and none is made. chars have implicit_space_before."""
+    w = Window.partitionBy(*keys).orderBy("pos")
+    old = lambda c: F.lag(c).over(w)
+    digit = lambda c: c.rlike("^[0-9]$")
+    off, em = F.abs(F.col("baseline") - old("baseline")), old("size")
+    own = ~F.col("formula") & (F.col("policy") == "translate") & digit(F.col("unicode")) & (F.abs(F.col("left") - old("right")) <= em * 0.25)
+    script = old("formula") & F.col("size").between(em * 0.4, em * 0.85) & off.between(em * 0.05, em * 0.75)
+    run = digit(old("unicode")) & (off <= em * 0.05) & ~F.coalesce("implicit_space_before", F.lit(False))
+    rows = chars.withColumn("_why", F.when(own & script, "script_baseline").when(own & run, "contiguous_digit_run"))
+    start = F.last(F.when(F.col("_why").isNull(), F.struct("pos", "formula")), ignorenulls=True).over(w)
+    rows = rows.withColumn("_start", start)
+    part = F.col("_why").isNotNull() & F.col("_start.formula")
+    return rows.select(*(F.col(f"`{c}`") for c in chars.columns), F.when(part, F.col("_start.pos")).alias("anchor"), F.when(part, F.col("_why")).alias("evidence"))
+
+
 def units(chars: DataFrame, keys: list[str], limit: Column) -> DataFrame:
     """keys, start, end, text, size, left, right, expects_left, expects_right of each formula: contiguous formula
     characters, and two such runs as one where what stands between them was extracted out of place. limit: the widest

@@ -90,6 +90,32 @@ def attached_radicals(spark, sf_dir):
     return M.attached_radicals(g.where("not formula and unicode = ')'").withColumnRenamed("pos", "radical"), g.where("formula").drop("formula").withColumnRenamed("pos", "formula"), ["para"])
 
 
+_SCRIPT_SQL = _GLYPH_SQL + """, sc AS (SELECT para, pos, CASE WHEN (para + pos) % 4 = 3 THEN unicode ELSE CAST((para + pos) % 10 AS VARCHAR) END AS unicode, formula, policy, (para * 5 + pos) % 9 = 0 AS implicit_space_before,
+ CASE WHEN (para + pos) % 5 = 1 THEN 0.6 ELSE 1 END * size AS size, 100.0 + CASE WHEN (para + pos) % 5 = 1 THEN 3 ELSE 0 END AS baseline, pos * 10.0 + para % 3 AS "left", pos * 10.0 + 9 + para % 3 AS "right" FROM gl)"""
+
+
+def _scripts(spark, sf_dir):
+    """The glyphs as a line without wide gaps, with many digits, some of them small and raised."""
+    k, g = F.col("para") + F.col("pos"), _glyphs(spark, sf_dir)
+    small = k % 5 == 1
+    return g.select(
+        "para", "pos", F.when(k % 4 == 3, F.col("unicode")).otherwise((k % 10).cast("string")).alias("unicode"), "formula", "policy", ((F.col("para") * 5 + F.col("pos")) % 9 == 0).alias("implicit_space_before"),
+        (F.when(small, 0.6).otherwise(1.0) * F.col("size")).alias("size"), F.when(small, 103.0).otherwise(100.0).alias("baseline"),
+        (F.col("pos") * 10.0 + F.col("para") % 3).alias("left"), (F.col("pos") * 10.0 + 9 + F.col("para") % 3).alias("right"),
+    )
+
+
+@query("WITH " + _SCRIPT_SQL + """, o AS (SELECT *, lag(unicode) OVER w AS u, lag(formula) OVER w AS f, lag(size) OVER w AS em, lag(baseline) OVER w AS b, lag("right") OVER w AS r FROM sc WINDOW w AS (PARTITION BY para ORDER BY pos)),
+ e AS (SELECT *, CASE WHEN formula OR policy <> 'translate' OR NOT unicode BETWEEN '0' AND '9' OR r IS NULL OR abs("left" - r) > em * 0.25 THEN NULL
+  WHEN f AND size >= em * 0.4 AND size <= em * 0.85 AND abs(baseline - b) >= em * 0.05 AND abs(baseline - b) <= em * 0.75 THEN 'script_baseline'
+  WHEN u BETWEEN '0' AND '9' AND abs(baseline - b) <= em * 0.05 AND NOT implicit_space_before THEN 'contiguous_digit_run' END AS why FROM o),
+ s AS (SELECT *, max(CASE WHEN why IS NULL THEN pos END) OVER (PARTITION BY para ORDER BY pos) AS anchor FROM e)
+ SELECT s.para, s.anchor, s.why AS evidence, CAST(count(*) AS BIGINT) AS n FROM s JOIN sc a ON a.para = s.para AND a.pos = s.anchor WHERE a.formula AND s.why IS NOT NULL GROUP BY ALL""")
+def boundary_expansion(spark, sf_dir):
+    c = M.expanded(_scripts(spark, sf_dir), ["para"])
+    return c.where("anchor is not null").groupBy("para", "anchor", "evidence").agg(F.count("*").alias("n"))
+
+
 # --- eligible text ---------------------------------------------------------------
 
 _TYPED_SQL = """ch AS (SELECT item_id, CAST(i AS INTEGER) AS pos, text[i] AS unicode, (item_id + i) % 11 <> 3 AS visible, CASE (item_id + i) % 13 WHEN 5 THEN 'rotated' WHEN 6 THEN 'upright' END AS transform,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vellumlake.functions import geometry as G
 from vellumlake.functions import text as X
-from vellumlake.functions.numeric import round6
+from vellumlake.functions.numeric import glyph_width, round6
 from vellumlake.operators import audit as A
 from vellumlake.operators import events as E
 from vellumlake.operators import scan, score
@@ -190,3 +190,31 @@ def event_line_sink(spark, sf_dir):
 def report_markdown(spark, sf_dir):
     d = _scores(spark, sf_dir).groupBy(F.floor(F.col("paper") / 50).alias("document"), F.col("dimension").cast("string").alias("dimension")).agg(F.min("score").alias("score"))
     return sinks.report_markdown(d)
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 2049 > 0 THEN CAST((p_size * 37 * 1000 + (p_partkey % 2049) // 2) // (p_partkey % 2049) AS BIGINT) END AS width FROM part""")
+def glyph_widths(spark, sf_dir):
+    k = F.col("p_partkey")
+    return rel.table(spark, sf_dir, "part").select("p_partkey", glyph_width(F.col("p_size") * 37, k % 2049).alias("width"))
+
+
+@query("""WITH e AS (SELECT user_id AS run, CAST(event_id % 3 AS VARCHAR) AS stage, CASE WHEN event_id % 8 = 0 THEN 'stage_started' WHEN event_id % 8 = 7 THEN 'stage_finished' WHEN event_id % 8 < 6 THEN 'page_progress' ELSE 'summary' END AS event,
+  event_id % 5 AS page, event_id % 4 + 1 AS total FROM events),
+ c AS (SELECT run, stage, count(*) FILTER (event = 'stage_started') AS started, count(*) FILTER (event = 'stage_finished') AS finished, count(DISTINCT page) FILTER (event = 'page_progress') AS pages, max(total) FILTER (event = 'page_progress') AS total_pages
+ FROM e WHERE event <> 'summary' GROUP BY ALL)
+ SELECT run, stage, CAST(started AS BIGINT) AS started, CAST(finished AS BIGINT) AS finished, CAST(pages AS BIGINT) AS pages, CAST(total_pages AS BIGINT) AS total_pages, finished > 0 AND pages = coalesce(total_pages, 0) AS complete FROM c""")
+def stage_progress(spark, sf_dir):
+    i = F.col("event_id")
+    kind = F.when(i % 8 == 0, "stage_started").when(i % 8 == 7, "stage_finished").when(i % 8 < 6, "page_progress").otherwise("summary")
+    e = rel.table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), (i % 3).cast("string").alias("stage"), kind.alias("event"), (i % 5).alias("page_index"), (i % 4 + 1).cast("bigint").alias("total_pages"))
+    return E.stage_progress(e, ["run"])
+
+
+@query("""WITH e AS (SELECT user_id AS run, event_id, CASE event_id % 4 WHEN 0 THEN event_id % 6 // 2 END AS n FROM events)
+ SELECT run, CAST(coalesce(arg_min(n, event_id) FILTER (n IS NOT NULL), 0) AS BIGINT) AS n FROM e GROUP BY run""")
+def summary_array_length(spark, sf_dir):
+    """Events with an array under the key, with a number there, and without the key."""
+    i = F.col("event_id")
+    array = F.concat(F.lit('{"event":"summary","kept":['), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.when(k < F.floor(i % 6 / 2), "{}")), ","), F.lit("]}"))
+    value = F.when(i % 4 == 0, array).when(i % 4 == 1, '{"event":"summary","kept":7}').otherwise('{"event":"result"}')
+    return E.summary_array_length(rel.table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", value.alias("value")), ["run"], "event_id", "kept")
