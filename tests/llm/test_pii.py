@@ -233,3 +233,14 @@ def test_whole_table_against_a_plain_search(spark):
     assert n > 50 and all(len(v) == 1 for v in plain.values())
     values = [next(iter(v)) for v in plain.values()]
     assert len(set(values)) == len(values) and not set(values) & set(plain)
+
+
+def test_domains_of_all_scripts(spark):
+    texts = ["müller@mail.exämple.de, bitte", "иван@пример.рф.", "a.b@site.example请联系", "MÜLLER@MAIL.EXÄMPLE.DE", "me@foo", "x@foo.bär ok", "a@b.com."]
+    out = replaced(spark, *texts)
+    assert out[0].endswith(".de, bitte") and out[0].count("@") == 1 and "müller" not in out[0] and "exämple" not in out[0]
+    assert out[1].endswith(".рф.") and "пример" not in out[1] and "иван" not in out[1]
+    assert out[2].endswith(".example请联系") and "site" not in out[2]
+    # case doesn't count: the same person in both texts
+    assert out[3].lower() == out[0].lower().removesuffix(", bitte")
+    assert out[4] == "me@foo" and out[5].endswith(".bär ok") and not out[5].startswith("x@foo") and out[6].endswith(".com.")

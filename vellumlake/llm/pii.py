@@ -29,6 +29,7 @@ from vellumlake.llm.common import fresh, looked_up, small, stored, text_or_empty
 KEY = "vellumlake-surrogates"  # a deployment passes its own secret
 WIDEN = 8  # turns after which a surrogate may be longer than its entity
 _OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
+_LABEL = r"[\p{L}\p{M}\p{N}-]++"  # of a domain, in any script; a last one in ASCII ends where another script goes on
 #: Fixed values (ITU E.164): country codes of one and two digits; the others have three.
 CODE = r"^(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 FEMALE, MALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Sra|Srta|Señora|Signora", "Mr|Herr|Monsieur|Sr|Señor|Signor"
@@ -54,7 +55,7 @@ SCRIPTS = (
 
 #: One alternative for each kind, most specific first; none can run over long texts more than once.
 PATTERN = "|".join((
-    r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
+    rf"(?<![\p{{L}}\p{{M}}\p{{N}}._%+-])[\p{{L}}\p{{M}}\p{{N}}._%+-]++@{_LABEL}(?:\.(?:{_LABEL}(?=\.{_LABEL})|[A-Za-z0-9-]++(?!\p{{IsLatin}})|{_LABEL}))++",
     r"(?<![\p{L}\p{N}_])(?i:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+-]{8,}+",
     rf"(?<![\d.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?!\d|\.\d)",
     r"(?<![\p{L}\p{N}:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
