@@ -74,6 +74,50 @@ def test_a_hot_bucket_without_broadcasts(spark, monkeypatch):
     assert got(df, width=2) == brute(rows, 2)
 
 
+def test_rows_grow_with_members_not_pairs(spark, monkeypatch):
+    """150 long texts that bitmaps can't tell from similar ones: 11,175 pairs, each in many buckets, and two links."""
+    counts, real = [], type(spark.range(0)).mapInArrow
+
+    def counted(self, fn, schema, *rest, **more):
+        made = spark.sparkContext.accumulator(0)
+        counts.append(made)
+
+        def run(batches):
+            for batch in fn(batches):
+                made.add(batch.num_rows)
+                yield batch
+
+        return real(self, run, schema, *rest, **more)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", counted)
+    random.seed(7)
+    rows = []
+    for i in range(150):
+        words = [f"w{k}" for k in range(1500)]
+        for k in random.sample(range(1500), 65):
+            words[k] = f"x{random.randint(0, 10**9)}"
+        rows.append((i, " ".join(words)))
+    rows += [(500, rows[70][1] + " more"), (501, rows[90][1] + " more")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(df, width=2) == brute(rows, 2)
+    assert max(c.value for c in counts) <= N.BANDS * len(rows)
+
+
+def test_members_meet_by_rare_elements(spark, monkeypatch):
+    """Buckets with many blocks outside their largest component."""
+    for name, value in (("BLOCK", 8), ("MOST_BLOCKS", 0)):
+        monkeypatch.setattr(N, name, value)
+    random.seed(11)
+    base, rows = [f"w{i}" for i in range(100)], []
+    for i in range(80):
+        words = list(base)
+        for k in random.sample(range(100), random.choice([4, 6, 8, 12])):
+            words[k] = f"x{random.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(df, width=2) == brute(rows, 2)
+
+
 def test_looked_up_equals_a_join(spark):
     rows = spark.createDataFrame([(i, None if i % 4 == 0 else "hot" if i % 3 else f"k{i}", i) for i in range(400)], "id bigint, k string, _hot bigint")
     table = rows.where("k is not null").groupBy("k").count().select("k", "count", "k").toDF("k", "n", "v")

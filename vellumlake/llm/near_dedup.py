@@ -5,9 +5,11 @@ one-permutation sketch: the hashes' top bits name a bin, the least hash stays in
 empty bins copy a bin that a 2-universal rule names (optimal densification). Rows of the sketch
 are banded into buckets; each bucket is a star around its least member, so it gives as many
 candidate edges as it has members, however large it is. Edges are confirmed on the full sets.
-Buckets whose members are still in more than one component get further stars around other
-members, each again with as many edges as members; what is left apart then is compared pair by
-pair, so no candidate pair that would join two components stays unseen.
+Buckets with the same members count once. Where much of a bucket is outside its largest component,
+further stars around other members follow, each again with as many edges as members. What is left
+apart then is compared pair by pair within tasks, so no candidate pair that would join two
+components stays unseen; only members that may have a link, and links that join components,
+become rows, so these grow with members and not with pairs.
 
 Components come from alternating large-star and small-star steps over the confirmed edges.
 Nothing about documents is collected to the driver: it sees counts only.
@@ -36,8 +38,9 @@ FEW = 2_000_000  # ids that are broadcast at most (16 MB); more are joined by a
 SALTS = 256  # edges of one document that one task confirms, about
 BITMAP = 32  # longs of the bitmap that bounds what two sets can share
 BLOCK = 256  # members of a bucket that one task holds of each side, about
-ROUNDS = 2  # of further stars, at most, before the pairs that remain are compared one by one
-PAIRS_PER_MEMBER = 4  # remaining pairs for each member of a bucket that are compared without further stars
+ROUNDS = 2  # of further stars, at most, before the pairs that remain are compared
+PAIRS_PER_MEMBER = 4  # remaining pairs for each member of a bucket, in blocks, that are compared without further stars
+MOST_BLOCKS = 16  # blocks of a bucket outside its largest component that all its members are sent to, at most
 WORDS = 200_000  # entries of a worker's table of word hashes; a cache only
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -192,17 +195,22 @@ def _possible(x, y, similarity: int):
     return (100 * F.least(x("n"), y("n")) >= similarity * F.greatest(x("n"), y("n"))) & ((100 + similarity) * (total - differ) >= 2 * similarity * total)
 
 
+def _marked(placed: DataFrame) -> DataFrame:
+    """placed (key, id, root and more) where a bucket holds more than one component: with its members m, the members r
+    outside its largest component, and whether a row is of that one."""
+    shares = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("m")).where("k > 1").select("key", "m", (F.col("m") - F.col("top.m")).alias("r"), F.col("top.root").alias("main"))
+    shares = stored(shares, "shares")
+    return looked_up(placed, shares, ["key"], F.col("id"), count="m", how="inner", bound=0).withColumn("is_main", F.col("root") == F.col("main")).drop("main")
+
+
 def _apart(members: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """The members of buckets that hold more than one component, with the bucket's largest component marked and
     the bitmaps of their sets. Components only grow, so the next turn's members are among this one's."""
     fields = [c for c in ("key", "id", "n", "bits") if c in members.columns]
     placed = stored(members.select(*fields).join(roots.withColumnRenamed("node", "id"), "id", "left").select(*fields, F.coalesce("root", "id").alias("root")), "placed")
-    shares = placed.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.count("*").alias("k"), F.sum("m").alias("m")).where("k > 1").select("key", "m", F.col("top.root").alias("main"))
-    shares = stored(shares, "shares")
-    out = looked_up(placed, shares, ["key"], F.col("id"), count="m", how="inner", bound=0).select(*fields, "m", "root", (F.col("root") == F.col("main")).alias("is_main"))
+    out = _marked(placed)
     out = stored(out if "bits" in fields else out.join(sets.select("id", "bits"), "id"), "apart")
     discard(placed)
-    discard(shares)
     return out
 
 
@@ -233,61 +241,150 @@ def _refined(apart: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     first = F.slice("s", F.lit(1), n - F.floor((similarity * n + 99) / 100).cast("int") + 1)
     met = ranked.select("id", F.explode(F.filter(first, lambda x: x["m"] > 1)).alias("x")).select("id", F.col("x.e").alias("key"))
     sizes = stored(met.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-    return looked_up(met, sizes, ["key"], F.col("id"), count="m", how="inner", bound=0).join(members, "id").select("key", "id", "n", "root", "bits", "m")
+    met = looked_up(met, sizes, ["key"], F.col("id"), count="m", how="inner", bound=0).select("key", "id")
+    return _marked(stored(met.join(members, "id").select("key", "id", "n", "root", "bits"), "met"))
 
 
-def _rest_pairs(apart: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Every pair of a bucket that lies in two components and can be similar enough. Members of buckets beyond BLOCK
-    meet by their rarest elements instead. What is still beyond it is cut into blocks of about BLOCK members, and each
-    task compares two blocks, as whole bitmaps; only possible pairs become rows."""
-    large = F.col("m") > BLOCK
-    if not apart.where(large).isEmpty():
-        fields = ["key", "id", "n", "root", "bits", "m"]
-        apart = apart.where(~large).select(*fields).unionAll(stored(_refined(apart.where(large), sets, similarity), "refined"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = apart.select("*", blocks.alias("blocks"), F.pmod(F.xxhash64("key", "id"), blocks).cast("int").alias("block"))
-    tiles = own.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"), "block", "id", "n", "root", "bits")
-    tiles = tiles.select("key", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "n", "root", "bits")
-    dealt = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(rows: dict[str, np.ndarray], out: list) -> None:
-        left, right = rows["block"] == rows["i"], rows["block"] == rows["j"]
-        x, y = ({k: v[side] for k, v in rows.items()} for side in (left, right))
-        step = max(1, 262_144 // max(1, len(y["id"])))
-        for k in range(0, len(x["id"]), step):
-            n, root, ids, bits = (x[c][k : k + step, None] for c in ("n", "root", "id", "bits"))
-            size = n + y["n"]
-            ok = (root != y["root"]) & (100 * np.minimum(n, y["n"]) >= similarity * np.maximum(n, y["n"]))
-            p, q = np.nonzero(ok & ((rows["i"][0] != rows["j"][0]) | (ids < y["id"])))
-            if len(p):
-                differ = np.zeros(len(p), np.int64)
-                for w in range(BITMAP):
-                    differ += np.bitwise_count(bits[p, 0, w] ^ y["bits"][q, w])
-                size = size[p, q]
-                hit = (100 + similarity) * (size - differ) >= 2 * similarity * size
-                out.append((x["id"][k + p[hit]], y["id"][q[hit]]))
+def _tiles(members: DataFrame, size: int) -> DataFrame:
+    """members (key, id, m, r, is_main and more), dealt so that each of a bucket's r meets each of its m in one tile
+    (key, i, j): of about `size` rows on the left, which are outside the largest component, and on the right."""
+    fields = [c for c in members.columns if c not in ("m", "r")]
+    across, down = (F.ceil(F.col(c) / size).cast("int") for c in ("m", "r"))
+    block = lambda n, salt: F.pmod(F.xxhash64("key", "id", F.lit(salt)), n).cast("int")
+    own = members.select("*", across.alias("across"), down.alias("down")).withColumn("oi", F.when(~F.col("is_main"), block(F.col("down"), 0))).withColumn("oj", block(F.col("across"), 1))
+    left = own.where(~F.col("is_main")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("across") - 1))).withColumn("i", F.col("oi"))
+    right = own.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("down") - 1))).where("is_main or i <> oi").withColumn("j", F.col("oj"))
+    out = left.select("i", "j", F.lit(True).alias("l"), (F.col("j") == F.col("oj")).alias("r"), *fields).unionAll(right.select("i", "j", F.lit(False).alias("l"), F.lit(True).alias("r"), *fields))
+    return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _by_tile(tiles: DataFrame, compare, schema: str) -> DataFrame:
+    """compare over the rows of each tile, as one Arrow table; it gives arrays of longs, one for each column."""
+    fields = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches):
-        names = ("key", "i", "j", "block", "id", "n", "root")
-        held: dict[str, np.ndarray] | None = None
+        held: pa.Table | None = None
         for batch in _and_none(batches):
             out: list = []
             if batch is not None and batch.num_rows:
-                new = {c: batch.column(k).to_numpy() for k, c in enumerate(names)}
-                new["bits"] = batch.column(7).flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP)  # counts of signed numbers drop the sign
-                held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
-            if held is not None:
-                change = np.flatnonzero((held["key"][1:] != held["key"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])) + 1
-                ends = [*change.tolist(), *([len(held["key"])] if batch is None else [])]
+                new = pa.Table.from_batches([batch])
+                held = new if held is None else pa.concat_tables([held, new])
+            if held is not None and held.num_rows:
+                k, i, j = (held[c].to_numpy() for c in ("key", "i", "j"))
+                change = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
                 start = 0
-                for end in ends:
-                    compare({c: v[start:end] for c, v in held.items()}, out)
+                for end in [*change.tolist(), *([len(k)] if batch is None else [])]:
+                    out.append(compare(held.slice(start, end - start).combine_chunks()))
                     start = end
-                held = {c: v[start:] for c, v in held.items()}
-            a, b = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                held = held.slice(start)
+            cols = (np.concatenate([o[c] for o in out]) if out else np.empty(0, np.int64) for c in range(len(fields)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=fields)
+
+    return tiles.mapInArrow(run, schema)
+
+
+def _longs(tile: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column of arrays of longs: their elements in one array, and where each begins and ends in it."""
+    c = tile[name].combine_chunks()
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    return c.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy())])
+
+
+def _candidates(tile: dict[str, np.ndarray], similarity: int):
+    """Pairs (p, q) of rows of a tile, left and right, of two components, that sizes and bitmaps allow; some at a time.
+    Two rows outside the largest component meet in two tiles and are paired in one."""
+    left, right = np.flatnonzero(tile["l"]), np.flatnonzero(tile["r"])
+    n, root, ids, bits = (tile[c] for c in ("n", "root", "id", "bits"))
+    step = max(1, 262_144 // max(1, len(right)))
+    for k in range(0, len(left), step):
+        x = left[k : k + step, None]
+        ok = (root[x] != root[right]) & (100 * np.minimum(n[x], n[right]) >= similarity * np.maximum(n[x], n[right]))
+        p, q = np.nonzero(ok & (tile["is_main"][right] | (ids[x] < ids[right])))
+        p, q = left[k + p], right[q]
+        differ = np.zeros(len(p), np.int64)
+        for w in range(BITMAP):
+            differ += np.bitwise_count(bits[p, w] ^ bits[q, w])
+        size = n[p] + n[q]
+        hit = (100 + similarity) * (size - differ) >= 2 * similarity * size
+        yield p[hit], q[hit]
+
+
+def _columns(tile: pa.Table, *names: str) -> dict[str, np.ndarray]:
+    return {c: tile[c].to_numpy() for c in names}
+
+
+def _doubtful(apart: DataFrame, similarity: int) -> DataFrame:
+    """The members (key, id, root, is_main, m, r) of buckets that sizes and bitmaps allow a link to another component:
+    a row for each member, never for a pair. Buckets that are left with the same members are compared once."""
+
+    def compare(table: pa.Table):
+        tile = _columns(table, "key", "l", "r", "is_main", "id", "n", "root")
+        tile["bits"] = _longs(table, "bits")[0].reshape(-1, BITMAP)  # unsigned: counts of signed numbers drop the sign
+        met = np.zeros(len(tile["id"]), bool)
+        for p, q in _candidates(tile, similarity):
+            met[p] = met[q] = True
+        return tuple(tile[c][met].astype(np.int64) for c in ("key", "id", "root", "is_main"))
+
+    found = _by_tile(_tiles(apart, BLOCK), compare, "key bigint, id bigint, root bigint, main bigint").distinct()
+    found = stored(found, "doubtful")
+    kept = _once(found.groupBy("key").agg(F.count("*").alias("m"), F.sum(1 - F.col("main")).alias("r"), *_signature()), "m", "r")
+    return looked_up(found, kept, ["key"], F.col("id"), count="m", how="inner", bound=0).withColumn("is_main", F.col("main") == 1).drop("main")
+
+
+def _joined(doubtful: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between the roots of components, from the full sets: of each tile only those that join two
+    components that its earlier links have not joined, so fewer than it has rows."""
+
+    def compare(table: pa.Table):
+        tile = _columns(table, "l", "r", "is_main", "id", "root")
+        h, at = _longs(table, "h")
+        n = tile["n"] = np.diff(at)
+        tile["bits"] = np.stack([bitmap(h[at[k] : at[k + 1]]) for k in range(len(n))]).view(np.uint64)
+        names, node = np.unique(tile["root"], return_inverse=True)
+        top, out = np.arange(len(names)), []  # of each component, the one that it is part of now
+        codes = shared = None
+        for p, q in _candidates(tile, similarity):
+            for x in np.unique(p).tolist():
+                others = q[p == x]
+                while len(others := others[top[node[others]] != top[node[x]]]):
+                    if codes is None:
+                        codes = np.unique(h, return_inverse=True)[1]
+                        shared = np.zeros(codes.max() + 1, np.int64)
+                    some, others = others[:32], others[32:]
+                    shared[codes[at[x] : at[x + 1]]] = 1
+                    common = np.array([shared[codes[at[y] : at[y + 1]]].sum() for y in some.tolist()])
+                    shared[codes[at[x] : at[x + 1]]] = 0
+                    for y in some[100 * common >= similarity * (n[x] + n[some] - common)].tolist():
+                        if top[node[x]] != top[node[y]]:
+                            out.append((tile["root"][x], tile["root"][y]))
+                            top[top == top[node[y]]] = top[node[x]]
+        a, b = np.array(out, np.int64).reshape(-1, 2).T
+        return a, b
+
+    tiles = _tiles(doubtful.join(sets.select("id", "h"), "id"), max(1, BLOCK // 4))
+    return stored(_by_tile(tiles, compare, "a bigint, b bigint").distinct(), "joined")
+
+
+def _rest_links(apart: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links that join all components that a pair of some bucket links. Every pair of a bucket that lies in two components
+    is compared in a task, and only members and joining links become rows. Members of buckets with many blocks outside
+    the largest component meet by their rarest elements instead."""
+    large = F.col("r") > MOST_BLOCKS * BLOCK
+    if not apart.where(large).isEmpty():
+        fields = ["key", "id", "n", "root", "bits", "m", "r", "is_main"]
+        apart = apart.where(~large).select(*fields).unionAll(stored(_refined(apart.where(large), sets, similarity).select(*fields), "refined"))
+    return _joined(_doubtful(apart, similarity), sets, similarity)
+
+
+def _signature() -> list:
+    """Aggregates of id that tell sets of members apart, 128 bits."""
+    return [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(c) for k, c in enumerate(("s0", "s1"))]
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+def _once(buckets: DataFrame, *what: str) -> DataFrame:
+    """key and the columns `what` of one of the buckets that have the same members."""
+    first = buckets.groupBy("s0", "s1", *what).agg(F.min("key").alias("key"))
+    return stored(first.select("key", *what), "once")
 
 
 def _and_none(batches):
@@ -301,9 +398,9 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     rows = stored(_sketched(docs, width), "sketches")
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("copies")), "classes")
     spread = classes.where("id is not null").select("id", "n", F.explode("keys").alias("key"))
-    stars = spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"), "m")
-    stars = stored(stars, "centres")
-    buckets = stored(looked_up(spread, stars, ["key"], F.col("id"), count="m", how="inner", bound=0).select("key", "id", "n", "c", "cn"), "buckets")
+    stars = spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("c"), F.count("*").alias("m"), *_signature()).where("m > 1").select("key", F.col("c.id").alias("c"), F.col("c.n").alias("cn"), "m", "s0", "s1")
+    stars = _once(stars, "c", "cn", "m")
+    buckets = stored(looked_up(spread, stars, ["key"], F.col("id"), count="m", how="inner", bound=0).select("key", "id", "n", "c", "cn", "m"), "buckets")
     discard(stars)
     near = lambda x, y: 100 * F.least(x, y) >= similarity * F.greatest(x, y)
     edges = stored(buckets.where("id <> c").where(near(F.col("n"), F.col("cn"))).select(F.col("id").alias("a"), F.col("c").alias("b")).distinct(), "edges")
@@ -311,18 +408,18 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     links = _confirmed(edges, sets, similarity)
     roots = connected(links)
 
-    # what the stars left apart: more stars around other members, then the few pairs that remain
-    tested, worth, apart = [edges], True, buckets
+    # what the stars left apart: more stars around other members where that is much, then the pairs that remain
+    tested, worth, apart = [edges], True, buckets.where("m > 2")  # the star of two is their pair
     for turn in range(ROUNDS + 1):
         before, apart = apart, _apart(apart, roots, sets)
         discard(before)
         spare = apart.groupBy("key").agg(F.count("*").alias("m"), F.count_if(~F.col("is_main")).alias("r")).agg(F.sum(F.col("m") * F.col("r")), F.sum("m")).first()
-        last = turn == ROUNDS or not worth or (spare[0] or 0) <= PAIRS_PER_MEMBER * (spare[1] or 0)
-        pairs = _rest_pairs(apart, sets, similarity) if last else _new_stars(apart, turn, similarity)
+        if turn == ROUNDS or not worth or (spare[0] or 0) <= PAIRS_PER_MEMBER * BLOCK * (spare[1] or 0):
+            break
         known = tested[0]
         for t in tested[1:]:
             known = known.unionAll(t)
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = _new_stars(apart, turn, similarity).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         more = stored(pairs.join(known, ["a", "b"], "left_anti"), "edges")
         found, asked = 0, more.count()
         if asked:
@@ -334,10 +431,13 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 discard(old)
         worth = 20 * found > asked and found >= 50
         tested.append(more)
-        if last:
-            break
-    for t in (apart, sets, *tested):
+    joined = _rest_links(apart, sets, similarity)
+    for t in (apart, buckets, sets, *tested):
         discard(t)
+    if not joined.isEmpty():
+        over = connected(joined)  # of roots, and of members that were alone
+        higher = roots.join(over.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+        roots = stored(higher.unionAll(over.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
 
     heads = stored(classes.select("cls", "copies", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select("cls", "copies", F.coalesce("root", "id").alias("component")), "heads")
     out = looked_up(rows.select("id", "n", "cls"), heads, ["cls"], F.col("id"), count="copies", bound=0)
