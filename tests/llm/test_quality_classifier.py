@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellumlake.llm import common, queries
 from vellumlake.llm import quality_classifier as Q
@@ -68,6 +69,45 @@ def test_clashing_columns_and_odd_rows_come_out(spark):
     assert len({r["__posterior"] for r in got if r.doc_id == 1}) == 1
 
 
+def test_threshold_equals_trying_every_cut(spark):
+    rng = np.random.default_rng(4)
+    for n, places in ((3000, 3), (400, 12), (2, 1)):
+        y = np.arange(n) % 2
+        p = np.round(np.clip(rng.normal(0.4 + 0.25 * y, 0.2), 0.001, 0.999), places)
+        good, bad = p[y == 1], p[y == 0]
+        values = np.unique(p)
+        cuts = [values[0], *((values[1:] + values[:-1]) / 2)]
+        gain = [(good >= c).mean() + (bad < c).mean() if (good >= c).mean() >= Q.KEEP else -1 for c in cuts]
+        rows = spark.createDataFrame(list(zip(y.tolist(), p.tolist())), "y int, _posterior double").repartition(3)
+        cut = Q.threshold(rows)
+        assert any(cut == pytest.approx(c) and g == pytest.approx(max(gain)) for c, g in zip(cuts, gain))
+
+
+def test_every_labelled_row_counts(spark):
+    """More labelled rows than the 20,000 that were once taken: each takes part in the fit, once."""
+    good, bad = "the house of the man is not far from here and it was good", "$$$ ### $$$ BUY 111 222 ***"
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, good).otherwise(bad).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    seen, real = [], Q.fit_classifier
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(Q, "fit_classifier", lambda known, *rest: seen.append(known.count() if hasattr(known, "count") else len(known)) or real(known, *rest))
+        out = Q.judged(docs.unionAll(docs.limit(10)), docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality")))
+        assert out.where("_kept").count() == 12_500 + docs.limit(10).where("doc_id % 2 = 0").count()
+    assert seen == [25_000]
+
+
+def test_fit_equals_plain_newton(spark):
+    rng = np.random.default_rng(2)
+    y = (np.arange(600) % 3 == 0).astype(int)
+    x = rng.normal(size=(600, 3)) + y[:, None] * [1.0, 0.5, 0.0]
+    c = Q.fit_classifier(spark.createDataFrame(list(zip(y.tolist(), x.tolist())), "y int, x array<double>").repartition(4))
+    z = Q._design((x - x.mean(0)) / x.std(0))
+    p = 1 / (1 + np.exp(-z @ c.beta))
+    w = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    assert z.T @ (w * (y - p)) == pytest.approx(np.array([1e-6, *[1.0] * 6]) * c.beta, abs=1e-5)
+    one = spark.createDataFrame([(x[5].tolist(),)], "x array<double>").select(c.prob(F.col("x"))).first()[0]
+    assert one == pytest.approx(np.clip(p[5], Q.LOW, Q.HIGH))
+
+
 def test_the_query_covers_documents_and_pages(spark, sf_dir):
     got = queries.op10_quality_classifier(spark, sf_dir).collect()
     n = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("documents", "pages")}

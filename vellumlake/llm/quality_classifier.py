@@ -7,8 +7,7 @@ method of moments takes from the spread between hosts and between paths. A docum
 posterior adds its path's log-odds against the global ones, its own share taken out, to its own.
 The threshold best separates the labelled rows among those that keep KEEP of the good ones.
 
-The classifier and the threshold use at most SAMPLE labelled rows; aggregates and scores cover
-every row. Without labels of both kinds every document has probability 1 and is kept.
+The classifier and the threshold use every labelled row, aggregates and scores every row. Without labels of both kinds every document has probability 1 and is kept.
 
 Documents have source and language as host and path; web pages, judged along with them, those
 of their address, and their markup is left out.
@@ -21,20 +20,19 @@ no label; other columns, whatever their names, pass through.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellumlake.llm.common import fresh, looked_up, map_arrow, pieces, stored
 from vellumlake.llm.language_id import host_of, plain
-from vellumlake.llm.quality_rules import KEEP, labelled_sample, statistics
+from vellumlake.llm.quality_rules import KEEP, statistics
 
-SAMPLE = 20_000  # labelled rows that fit the classifier and the threshold, at most
+STRIPES = 128  # of one unit of log-odds, in which the threshold counts
 LOW, HIGH = 0.001, 0.999
 SHIFT = 3.0  # log-odds that a path may add or take at most
 
@@ -49,10 +47,14 @@ class Classifier:
     scale: np.ndarray
     beta: np.ndarray
 
-    def prob(self, x: np.ndarray) -> np.ndarray:
-        if not len(x):
-            return np.empty(0)
-        return np.clip(1 / (1 + np.exp(-np.clip(_design((x - self.mean) / self.scale) @ self.beta, -30, 30))), LOW, HIGH)
+    def prob(self, x: Column) -> Column:
+        """The probability of good quality of statistics, an array column."""
+        z = [F.least(F.greatest((x[i] - float(m)) / float(c), F.lit(-8.0)), F.lit(8.0)) for i, (m, c) in enumerate(zip(self.mean, self.scale))]
+        log_odds = F.lit(float(self.beta[0]))
+        for b, v in zip(self.beta[1:], [*z, *(v * v for v in z)]):
+            log_odds = log_odds + float(b) * v
+        p = 1 / (1 + F.exp(-F.least(F.greatest(log_odds, F.lit(-30.0)), F.lit(30.0))))
+        return F.least(F.greatest(p, F.lit(LOW)), F.lit(HIGH))
 
 
 def _design(z: np.ndarray) -> np.ndarray:
@@ -60,42 +62,71 @@ def _design(z: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(z)), z, z * z])
 
 
-def fit_classifier(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Classifier:
-    order = np.lexsort((*x.T, y))  # whatever order the rows came in
-    x, y = x[order], y[order].astype(float)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
-    z = _design((x - mean) / scale)
-    beta, weight = np.zeros(z.shape[1]), np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    pull = np.diag([1e-6, *[ridge] * (z.shape[1] - 1)])
-    for _ in range(60):  # Newton's method, both kinds weighing alike
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        step = np.linalg.solve((z * (weight * p * (1 - p) + 1e-9)[:, None]).T @ z + pull, z.T @ (weight * (y - p)) - pull @ beta)
+def fit_classifier(known: DataFrame, ridge: float = 1.0) -> Classifier | None:
+    """known: y (0 or 1) and x (statistics) of every labelled row; None without rows of both kinds. Each step of Newton's
+    method is a sum over all rows: tasks give theirs, the driver sees one row of each."""
+    count = known.groupBy("y").agg(F.count("*").alias("n"), F.first(F.size("x")).alias("d")).collect()
+    if len(count) < 2:
+        return None
+    x = [F.col("x")[i] for i in range(count[0]["d"])]
+    r = known.agg(*map(F.avg, x), *map(F.stddev_pop, x)).first()
+    mean, scale = np.array(r[: len(x)]), np.maximum(np.array(r[len(x) :]), 1e-6)
+    total = sum(c["n"] for c in count)
+    weight = {int(c["y"]): 0.5 * total / c["n"] for c in count}  # both kinds weigh alike
+    width = 1 + 2 * len(x)
+
+    def sums(beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def run(batches):
+            out = np.zeros(width * (width + 1))
+            for batch in batches:
+                if batch.num_rows:
+                    y = batch.column(0).to_numpy()
+                    z = _design((batch.column(1).flatten().to_numpy().reshape(-1, width // 2) - mean) / scale)
+                    w = np.where(y == 1, weight[1], weight[0])
+                    p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+                    out += np.concatenate([((z * (w * p * (1 - p) + 1e-9)[:, None]).T @ z).ravel(), z.T @ (w * (y - p))])
+            yield pa.RecordBatch.from_arrays([pa.array([out], pa.list_(pa.float64()))], names=["s"])
+
+        parts = sorted(r["s"] for r in known.select("y", "x").mapInArrow(run, "s array<double>").collect())
+        s = np.sum(parts, axis=0)
+        return s[: width * width].reshape(width, width), s[width * width :]
+
+    beta, pull = np.zeros(width), np.diag([1e-6, *[ridge] * (width - 1)])
+    for _ in range(60):
+        curve, slope = sums(beta)
+        step = np.linalg.solve(curve + pull, slope - pull @ beta)
         beta = beta + step
         if np.abs(step).max() < 1e-7:
             break
     return Classifier(mean, scale, beta)
 
 
-def scored(df: DataFrame, classifier: Classifier, html: str | None = None) -> DataFrame:
-    """df (text and more) with _p, the classifier's probability of good quality, instead of the text; `html`: a
-    boolean column, true for texts with markup."""
-    shared = df.sparkSession.sparkContext.broadcast(classifier)
+def described(df: DataFrame, html: str | None = None) -> DataFrame:
+    """df (text and more) with _x, the statistics of the text, instead of it; `html`: a boolean column, true for texts
+    with markup."""
     at, marked = df.columns.index("text"), df.columns.index(html) if html else None
     rest = [i for i in range(len(df.columns)) if i != at]
-    schema = T.StructType([*(df.schema.fields[i] for i in rest), T.StructField("_p", T.DoubleType())])
+    schema = T.StructType([*(df.schema.fields[i] for i in rest), T.StructField("_x", T.ArrayType(T.DoubleType()))])
 
     def run(whole: pa.RecordBatch):
-        c = shared.value
         for batch in pieces(whole):
             texts = batch.column(at).to_pylist()
             if marked is not None:
                 texts = [plain(t) if h and t else t for t, h in zip(texts, batch.column(marked).to_pylist())]
-            x = np.array([statistics(t or "")[1] for t in texts], float)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(c.prob(x))], names=[*(batch.schema.names[i] for i in rest), "_p"])
+            x = pa.array([statistics(t or "")[1] for t in texts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), x], names=[*(batch.schema.names[i] for i in rest), "_x"])
 
     return map_arrow(df, run, schema)
 
 
+def labelled(every: DataFrame, labels: DataFrame, value: str = "quality") -> DataFrame:
+    """y, x, _host, _path, one row for each labelled id of every (_id, _x, _host, _path): the least by these where an id
+    is repeated; of several labels of an id the greatest counts. No text is shuffled."""
+    given = labels.where(F.col(value).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(value).cast("int").alias("y"))
+    rows = looked_up(every.select("_id", F.struct(F.col("_x").alias("x"), "_host", "_path").alias("v")), given, ["_id"], F.xxhash64("v"), how="inner")
+    return rows.groupBy("_id").agg(F.min("v").alias("v"), F.max("y").alias("y")).select("y", "v.*")
+
+
 def strength(between: float, mu: float) -> float:
     """Pseudo-counts of a beta prior whose means spread by the variance `between` around mu."""
     return float(np.clip(mu * (1 - mu) / max(between, 1e-9) - 1, 1.0, 1e4))
@@ -146,16 +177,25 @@ def with_posterior(rows: DataFrame, s: Sites) -> DataFrame:
     return out.withColumn("_posterior", 1 / (1 + F.exp(-(odds(own) + shift)))).drop("_k", "_n", "_hk", "_hn")
 
 
-def threshold(p: np.ndarray, y: np.ndarray, keep: float = KEEP) -> float:
-    """Rows at or above it are kept: at least so many of the good ones, and else the best separation."""
-    cuts = np.unique(p)
-    cuts = np.concatenate([cuts[:1], (cuts[1:] + cuts[:-1]) / 2])
-    good, bad = np.sort(p[y == 1]), np.sort(p[y == 0])
-    kept = 1 - np.searchsorted(good, cuts, "left") / max(1, len(good))
-    caught = np.searchsorted(bad, cuts, "left") / max(1, len(bad))
-    gain = np.where(kept >= keep, kept + caught, -1)
-    best = np.flatnonzero(gain == gain.max())
-    return float(cuts[best[len(best) // 2]])
+def threshold(rows: DataFrame, keep: float = KEEP) -> float:
+    """rows: y and _posterior of every labelled row. Rows at or above the threshold are kept: at least so many of the good
+    ones, and else the best separation. Counts below each value are sums within a stripe of log-odds and of the stripes
+    below it, so no task sorts all values and the driver sees stripes only."""
+    p = F.col("_posterior")
+    values = rows.groupBy(p).agg(F.count_if(F.col("y") == 1).alias("good"), F.count_if(F.col("y") == 0).alias("bad"))
+    values = stored(values.withColumn("stripe", F.floor(STRIPES * F.log(p / (1 - p))).cast("int")), "values")
+    stripes = sorted(values.groupBy("stripe").agg(F.sum("good"), F.sum("bad")).collect())
+    below = np.cumsum([(0, 0), *((g, b) for _, g, b in stripes)], axis=0).tolist()
+    good, bad = below[-1]
+    before = rows.sparkSession.createDataFrame([(s[0], *n) for s, n in zip(stripes, below)], "stripe int, good_below bigint, bad_below bigint")
+    earlier = Window.partitionBy("stripe").orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    lost, caught = (F.col(f"{k}_below") + F.coalesce(F.sum(k).over(earlier), F.lit(0)) for k in ("good", "bad"))
+    kept = 1 - lost / max(1, good)
+    gains = stored(values.join(F.broadcast(before), "stripe").select(p, kept.alias("kept"), (caught / max(1, bad)).alias("caught")).where(F.col("kept") >= keep).select(p, (F.col("kept") + F.col("caught")).alias("gain")), "gains")
+    best = gains.where(F.col("gain") == gains.agg(F.max("gain")).first()[0])
+    at = best.orderBy(p).offset(best.count() // 2).first()["_posterior"]
+    under = values.where(p < at).agg(F.max(p)).first()[0]
+    return at if under is None else (at + under) / 2
 
 
 def _key(c: Column) -> Column:
@@ -171,7 +211,7 @@ def places(docs: DataFrame, pages: DataFrame) -> DataFrame:
     return d.unionAll(pages.select(F.lit("page"), null, F.col("page_id").cast("bigint"), host_of(F.col("url")), path, F.col("html"), F.lit(True)))
 
 
-def judged(rows: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", sample: int = SAMPLE, *, keep: list[str] | None = None, html: str | None = None) -> DataFrame:
+def judged(rows: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", *, keep: list[str] | None = None, html: str | None = None) -> DataFrame:
     """The columns `keep` of rows (by default all) with _p, _host_post, _path_post, _posterior and _kept; their names get
     more underscores where rows has them. rows need doc_id and text. Statistics of a text are made once, and what is
     kept of a row is written with them; no text is shuffled."""
@@ -179,24 +219,15 @@ def judged(rows: DataFrame, labels: DataFrame, host: str = "source", path: str =
     names = fresh(rows.columns, "p", "host_post", "path_post", "posterior", "kept")
     out = lambda df, values: df.select("_row.*", *(v.alias(n) for n, v in zip(names, values)))
     kept = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("_row")
-    inner = rows.select(kept, "text", _key(F.col(f"`{host}`")).alias("_host"), _key(F.col(f"`{path}`")).alias("_path"), *([F.col(f"`{html}`").alias("_html")] if html else []))
-    known = labelled_sample(rows.select("doc_id", "text", _key(F.col(f"`{host}`")).alias("_host"), _key(F.col(f"`{path}`")).alias("_path")), labels, "quality", sample, ("_host", "_path"))
-
-    def features(whole: pa.RecordBatch):
-        for batch in pieces(whole):
-            got = [statistics(t or "")[1] for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(got, pa.list_(pa.float64()))], names=["_host", "_path", "y", "x"])
-
-    got = map_arrow(known.select("text", "_host", "_path", "_value"), features, "_host string, _path string, y int, x array<double>").toPandas()  # at most `sample` rows
-    if not len(got) or got.y.nunique() < 2:
+    inner = rows.select(kept, F.col("doc_id").alias("_id"), "text", _key(F.col(f"`{host}`")).alias("_host"), _key(F.col(f"`{path}`")).alias("_path"), *([F.col(f"`{html}`").alias("_html")] if html else []))
+    every = stored(described(inner, "_html" if html else None), "described")
+    known = stored(labelled(every, labels), "labelled")
+    classifier = fit_classifier(known)
+    if classifier is None:
         one = F.lit(1.0)
-        return out(inner, (one, one, one, one, F.lit(True)))
-    x = np.array(got.x.tolist(), float)
-    classifier = fit_classifier(x, got.y.to_numpy())
-    every = stored(scored(inner, classifier, "_html" if html else None), "scored")
+        return out(every, (one, one, one, one, F.lit(True)))
+    every = every.withColumn("_p", classifier.prob(F.col("_x"))).drop("_x")
     s = sites(every.select("_host", "_path", "_p"))
-    few = rows.sparkSession.createDataFrame(list(zip(got._host, got._path, got.y.tolist(), classifier.prob(x).tolist())), "_host string, _path string, y int, _p double")
-    check = with_posterior(few, s).select("y", "_posterior").toPandas()
-    cut = threshold(check._posterior.to_numpy(), check.y.to_numpy())
+    cut = threshold(with_posterior(known.select("y", "_host", "_path", classifier.prob(F.col("x")).alias("_p")), s).select("y", "_posterior"))
     done = with_posterior(every, s)
     return out(done, (*(F.col(c) for c in ("_p", "_host_post", "_path_post", "_posterior")), F.col("_posterior") >= cut))
